@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .near_dedup import op3_near_dedup
+from .packing import op4_packing
 from .quality_rules import op9_quality_rules
 from .sharding import op1_sharding
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op3_near_dedup, op9_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op3_near_dedup, op4_packing, op9_quality_rules)}
 SQL: dict[str, str] = {}
