@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op7_chat
 from .decontamination import OP8_SQL, op8_decontamination
 from .language_id import op5_language_id
 from .near_dedup import op3_near_dedup
@@ -10,5 +11,5 @@ from .quality_model import op10_quality_classifier
 from .quality_rules import op9_quality_rules
 from .sharding import op1_sharding
 
-QUERIES = {q.__name__: q for q in (op1_sharding, op3_near_dedup, op4_packing, op5_language_id, op8_decontamination, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {q.__name__: q for q in (op1_sharding, op3_near_dedup, op4_packing, op5_language_id, op7_chat, op8_decontamination, op9_quality_rules, op10_quality_classifier)}
 SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
