@@ -453,3 +453,55 @@ def resumen_parque(spark, sf_dir):
     c = standin.readings(spark, sf_dir).groupBy("cabina_id").agg(F.count_distinct("medidor_id").alias("n"))
     sizes = F.sort_array(F.collect_list("n"))
     return c.agg(F.count("*").alias("cabinas"), F.sum("n").alias("medidores"), F.min("n").alias("minimo"), F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")).alias("mediana"), F.max("n").alias("maximo"))
+
+
+# -- generators and the stream
+
+
+def _stream_cells(spark, sf_dir, files: int = 4) -> DataFrame:
+    from ..sources.files import scratch
+    from ..streaming import meter_day
+
+    meter_day.configure(spark)
+    top = scratch(spark)
+    df = standin.readings(spark, sf_dir)
+    rows = df.select("medidor_id", _us().alias("us"), F.col("valor").cast("double").alias("valor"), "cabina_id", "llegada", F.ntile(files).over(Window.partitionBy(F.lit(0)).orderBy("llegada")).alias("lote"))
+    for k in range(1, files + 1):  # a file a batch, in order of arrival
+        rows.where(F.col("lote") == k).drop("lote").coalesce(1).write.mode("append").parquet(f"{top}/in")
+    raw = spark.readStream.schema("medidor_id string, us long, valor double, cabina_id string, llegada long").option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("us") / F.lit(1_000_000).cast("decimal(20,6)"))
+    good = raw.select("medidor_id", at.alias("instante"), "valor", "cabina_id", "llegada", F.lit("").alias("lectura"))
+    meter_day.run_to_folder(meter_day.transform(good, CALENDAR), f"{top}/out", f"{top}/checkpoint")
+    return meter_day.current_cells(spark, f"{top}/out")
+
+
+@query(SQL["celdas"])
+def flujo_celdas(spark, sf_dir):
+    """The cells by way of the stream, readings in four micro-batches; same SQL as the batch."""
+    return _stream_cells(spark, sf_dir)
+
+
+@query()
+def escenario_simulador(spark, sf_dir):
+    """Cells of a simulated day of three cabinets."""
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from ..sources import simulator
+
+    sent = simulator.scenario(spark, "A", 3, datetime(2026, 9, 22, tzinfo=ZoneInfo(CALENDAR.zona)))
+    raw = sent.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.timestamp_micros("publicado_us").alias("timestamp"))
+    return energy.chain(raw, CALENDAR)[0]
+
+
+@query("""SELECT franja, energia_kwh::DOUBLE AS energia_kwh, cubiertos::DOUBLE AS minutos_cubiertos, indet::DOUBLE AS minutos_indeterminados, interpolada, usados::BIGINT AS intervalos_usados FROM (VALUES ('resto', 1.0, 20.0, 0.0, false, 2), ('punta', 0.8, 10.0, 0.0, false, 1)) t(franja, energia_kwh, cubiertos, indet, interpolada, usados)""")
+def inyector_acciones(spark, sf_dir):
+    """The injector's story: three readings, one again, one late on the edge."""
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from ..sources import injector
+
+    sent = injector.play(["normal", "normal", "normal", "duplicado", "tardia"], datetime(2026, 9, 30, tzinfo=ZoneInfo(CALENDAR.zona)))
+    cells = energy.chain(injector.records(spark, sent), CALENDAR)[0]
+    return cells.select("franja", "energia_kwh", "minutos_cubiertos", "minutos_indeterminados", "interpolada", "intervalos_usados")
