@@ -176,3 +176,22 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return read_back(format_conversations(turns.unionByName(own)))
 
+
+
+def _size_sql() -> str:
+    """Code points of an escaped text in SQL."""
+    grown = " + ".join(f"2 * ((length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)})" for c in CONTROLS)
+    return f"(length({{0}}) + {grown} + length({{0}}) - length(replace({{0}}, '{MARK}', '')))"
+
+
+OP7_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum({_size_sql().format("text")} + CASE {" ".join(f"WHEN role = '{r}' THEN {len(a) + len(b)}" for r, (a, b) in TURNS.items())} ELSE {len("[ROLE][BODY][/ROLE]")} + {_size_sql().format("role")} END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -128,3 +128,27 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     out = quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _covered_sql(n: int) -> str:
+    return f"""g{n} AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM (SELECT r, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE len(w) >= {n}))),
+c{n} AS (SELECT r, count(*) AS words, sum(length(w[p])) AS chars FROM (SELECT DISTINCT r, unnest(range(i, i + {n})) AS p FROM g{n} WHERE n > 1) JOIN d USING (r) GROUP BY r)"""
+
+
+OP9_SQL = (
+    r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+"""
+    + ",\n".join(_covered_sql(n) for n in GRAMS)
+    + r""",
+ls AS (SELECT r, i, string_split(text, chr(10))[i] AS line FROM (SELECT r, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM d)),
+ln AS (SELECT r, length(line) AS chars, row_number() OVER (PARTITION BY r, line ORDER BY i) > 1 AS again FROM ls WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+la AS (SELECT r, count(*) FILTER (WHERE again) AS dup, coalesce(sum(chars) FILTER (WHERE again), 0) / sum(chars) AS share FROM ln GROUP BY r),
+x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c5.words, 0) AS BIGINT) AS n_repeat_words,
+  coalesce(c5.chars, 0) AS a, coalesce(c7.chars, 0) AS b, coalesce(c10.chars, 0) AS c, coalesce(share, 0) AS share
+  FROM d LEFT JOIN la USING (r) LEFT JOIN c5 USING (r) LEFT JOIN c7 USING (r) LEFT JOIN c10 USING (r)),
+y AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+"""
+    + f"NOT base_failed AND a / greatest(word_chars, 1) <= {GRAMS[5]} AND b / greatest(word_chars, 1) <= {GRAMS[7]} AND c / greatest(word_chars, 1) <= {GRAMS[10]} AND share <= {MOST_IN_LINES} AS kept FROM y"
+)
