@@ -62,9 +62,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(lo)
 
 
-def own_columns(df: DataFrame, **names: str) -> DataFrame:
-    """Only the named columns, cast and renamed: other columns, clashing names included, play no part."""
-    return df.select(*(df[name].cast(kind.split(":")[1]).alias(kind.split(":")[0]) for name, kind in names.items()))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

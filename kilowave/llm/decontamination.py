@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, words_of
-from .common import bounded_batches, materialise, slices
+from .common import bounded_batches, fresh, materialise, slices
 
 WINDOW, BLOCK_BYTES = 13, 4 << 20
 BITS = 1 << 22
@@ -252,11 +252,10 @@ def contamination(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """docs without the contaminated rows (of several texts under one doc_id, those alone), all columns kept."""
-    uid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = docs.withColumn("__uid", uid)
-    own = marked.select(F.col("__uid").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bad = contamination(own, tests).where("contaminated").select(F.col("doc_id").alias("__uid")).distinct()
-    return marked.join(bad, "__uid", "left_anti").drop("__uid").select(docs.columns)
+    name, uid = fresh(docs, "__uid"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = docs.select(uid.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bad = contamination(own, tests).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, uid).join(bad, name, "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

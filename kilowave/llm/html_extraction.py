@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +50,10 @@ RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.I)
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
+#: Nearest block-level ancestors that count for nearness in the tree.
+DEPTH = 12
+
+
 class Block:
     __slots__ = ("good", "bad", "names", "linked", "parent", "path", "tag", "text")
 
@@ -66,7 +70,7 @@ class Node:
     def __init__(self, tag: str, attributes: str, above: Node | None, number: int):
         self.tag = tag
         self.good, self.bad, self.names, self.silent = (above.good, above.bad, above.names, above.silent) if above else (False, False, 0, False)
-        self.path = (*(above.path if above else ()), number) if tag in BLOCK or not above else above.path
+        self.path = (*(above.path if above else ()), number)[-DEPTH:] if tag in BLOCK or not above else above.path
         if tag in SILENT:
             self.silent = True
         if tag in BAD_ELEMENTS or tag == "header" and not self.good:
@@ -96,7 +100,11 @@ def blocks_of(page: str) -> list[Block]:
     stack = [Node("", "", None, 0)]
     parts: list[str] = []
     linked = links = number = at = 0
-    owner = stack[0]
+    owner, opened, unclosed = stack[0], Counter(), set()
+
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
 
     def flush():
         nonlocal parts, linked
@@ -107,8 +115,9 @@ def blocks_of(page: str) -> list[Block]:
             parts, linked = [], 0
 
     n = len(page)
+    last = n if "<!--" in page else page.rfind(">") + 1  # no tag ends after it
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at, last)
         end = m.start() if m else n
         if end > at and not stack[-1].silent:
             raw = page[at:end]
@@ -131,9 +140,9 @@ def blocks_of(page: str) -> list[Block]:
             parts and parts.append(" ")
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCK and stack[k].tag in BLOCK:
                     break
@@ -141,20 +150,26 @@ def blocks_of(page: str) -> list[Block]:
                 links = 0
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n if tag in ("script", "style") else at
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = n
+            else:
+                unclosed.add(tag)
             continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         if tag in BLOCK:
             for k in range(len(stack) - 1, 0, -1):  # a new block ends an open paragraph; an item ends an open item
                 if stack[k].tag == "p" or tag in ("li", "dd", "dt", "td", "th", "tr") and stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
         number += 1
         stack.append(Node(tag, attributes or "", stack[-1], number))
+        opened[tag] += 1
         if tag == "a":
             links = 1
     flush()
@@ -190,12 +205,7 @@ def _edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(blocks):
         if i:
             a = blocks[i - 1]
-            near = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                near += 1
-            apart = len(a.path) + len(b.path) - 2 * near
+            apart = len(a.path) + len(b.path) - 2 * len(set(a.path) & set(b.path))
             out.append((i - 1, i, 0.3 + 1.2 * 0.6**apart))
         j = last.get(b.parent)
         if j is not None and j != i - 1:

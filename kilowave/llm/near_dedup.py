@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, materialise
+from .common import bounded_batches, connected_components, fresh, materialise
 
 BANDS, RADIUS = 6, 4
 #: Pivots: reference fingerprints, from a fixed seed. KEY_PIVOTS of them make the join key of a band choice.
@@ -264,9 +264,10 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest doc_id (of several texts under it, any one)."""
     groups = near_duplicates(docs, words)
-    first = groups.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("uid").alias("__uid")).select("__uid")
-    kept = docs.withColumn("__uid", _uid()).join(first, "__uid", "left_semi")
-    return kept.dropDuplicates(["__uid"]).drop("__uid").select(docs.columns)
+    name = fresh(docs, "__uid")
+    first = groups.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("uid").alias(name)).select(name)
+    kept = docs.withColumn(name, _uid()).join(first, name, "left_semi")
+    return kept.dropDuplicates([name]).select(*docs.columns)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
