@@ -251,21 +251,21 @@ def fingerprint_links(fps: DataFrame, bands: int = BANDS, most: int = MOST_IN_BU
 
 
 def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp, uid, component_id) of every row: its fingerprint and the smallest doc_id reachable by links."""
+    """(doc_id, fp, uid, root, component_id) of every row: its fingerprint, its group and the smallest doc_id in it."""
     prints = materialise(fingerprints(docs, words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(fingerprint_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     grouped = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "uid", "component_id")
+    named = grouped.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "uid", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest doc_id (of several texts under it, any one)."""
     groups = near_duplicates(docs, words)
     name = fresh(docs, "__uid")
-    first = groups.where("doc_id <=> component_id").groupBy("component_id").agg(F.min("uid").alias(name)).select(name)
+    first = groups.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias(name)).select(name)
     kept = docs.withColumn(name, _uid()).join(first, name, "left_semi")
     return kept.dropDuplicates([name]).select(*docs.columns)
 
