@@ -11,6 +11,10 @@ within a bucket, pairs whose distance coordinates to the pivots over all 64 bits
 discarded, and the survivors are verified bit by bit. No linked pair is lost, and pairs are never listed:
 a bucket gives a spanning forest of its links.
 
+With a `similarity` (the pipeline: five-word shingles, 0.8) texts are linked by the Jaccard similarity of their shingle sets as
+well. Such texts differ in five to sixteen of 64 bits, far more than RADIUS, so their candidates come from SimHashes of small
+min-wise samples of the sets, which are equal for similar texts, and are verified on the sets.
+
 Scale: equal fingerprints collapse first; a bucket streams through one task that holds MOST_IN_BUCKET
 fingerprints at most, and larger buckets are dealt out as pairs of chunks of that size.
 
@@ -31,7 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, fresh, materialise
+from .bytewords import PLAIN, gram_hashes, mix, words_of
+from .common import bounded_batches, connected_components, fresh, materialise, slices
 
 BANDS, RADIUS = 6, 4
 #: Pivots: reference fingerprints, from a fixed seed. KEY_PIVOTS of them make the join key of a band choice.
@@ -250,20 +255,147 @@ def fingerprint_links(fps: DataFrame, bands: int = BANDS, most: int = MOST_IN_BU
     return plain.unionByName(dealt.mapInArrow(_pair_stream, "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp, uid, root, component_id) of every row: its fingerprint, its group and the smallest doc_id in it."""
+# -- similarity of shingle sets
+
+
+#: Samples of a shingle set, shingles in each, and shingles kept of a set for its similarity (all of them for most texts).
+SAMPLES, SAMPLE_SIZE, SKETCH = 16, 3, 512
+_ODD = np.array([random.Random(77 + k).getrandbits(64) | 1 for k in range(SAMPLES)], dtype=np.uint64)
+
+
+def sample_prints(shingles: np.ndarray) -> np.ndarray:
+    """A SimHash of each sample of a set of hashed shingles: the bitwise majority of the three that are least under a keyed order."""
+    least = []
+    for odd in _ODD:
+        own = mix(shingles * odd)
+        least.append(np.partition(own, SAMPLE_SIZE - 1)[:SAMPLE_SIZE] if len(own) > SAMPLE_SIZE else np.sort(own))
+    out = []
+    for x in least:
+        bits = (x[0] & x[1]) | (x[0] & x[2]) | (x[1] & x[2]) if len(x) == 3 else x[0] & x[1] if len(x) == 2 else x[0]
+        out.append(bits)
+    return mix(np.array(out, dtype=np.uint64) + np.arange(SAMPLES, dtype=np.uint64))
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(uid, sid, n, prints, sketch) of every row with a word: a hash of its shingle set, its size, sample fingerprints and least shingles."""
+    bounded_batches(docs.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            w = words_of(batch.column("text"), PLAIN, lower=True)
+            h = w.hashes()
+            g = gram_hashes(h, words)
+            rows, sids, sizes, prints, sketches = [], [], [], [], []
+            for k, (lo, hi) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                if lo == hi:
+                    continue
+                own = np.unique(g[lo : hi - words + 1] if hi - lo >= words else gram_hashes(h[lo:hi], hi - lo))
+                rows.append(k), sizes.append(len(own))
+                sids.append(int(mix(own + np.uint64(9)).sum(dtype=np.uint64)))
+                prints.append(sample_prints(own).view(np.int64))
+                sketches.append(own[:SKETCH].view(np.int64))
+            if rows:
+                cols = [batch.column("uid").take(pa.array(rows)), pa.array(np.array(sids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "sid", "n", "prints", "sketch"])
+
+    rows = docs.select(_uid(), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(each, "uid long, sid long, n int, prints array<long>, sketch array<long>")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by print, beside: each set with the two before it and the first of its bucket."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, sid = batch.column("print").to_numpy(), batch.column("sid").to_numpy()
+        skip = 0
+        if held is not None:
+            skip = len(held[0])
+            key, sid = np.concatenate([held[0], key]), np.concatenate([held[1], sid])
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        rows = np.arange(skip, len(key))
+        us, vs = [], []
+        for other in (rows - 1, rows - 2, head[rows]):
+            ok = (other >= 0) & (other < rows)
+            a, b = rows[ok], other[ok]
+            ok = (key[a] == key[b]) & (sid[a] != sid[b])
+            us.append(np.maximum(sid[a[ok]], sid[b[ok]])), vs.append(np.minimum(sid[a[ok]], sid[b[ok]]))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if len(u):
+            pairs = np.unique(np.stack([u, v], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        last = np.unique([head[-1], max(len(key) - 2, head[-1]), len(key) - 1])
+        held = key[last], sid[last]
+
+
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs of different shingle sets, by sid, with a Jaccard similarity of at least so much.
+
+    Sets that agree on a sample's fingerprint are candidates (sets of similarity s miss all samples with odds of about (1 - s**3)**16); within
+    a bucket they lie in order of another sample's, and each is compared with the two before it and the first, so a group of n copies gives 3n pairs
+    a sample at most. The similarity is exact for sets of up to SKETCH shingles and else taken over the SKETCH least of the union.
+    """
+    beside = F.expr(f"transform(sequence(0, {SAMPLES - 1}), t -> named_struct('print', prints[t], 'beside', prints[(t + 1) % {SAMPLES}]))")
+    rows = sets.select("sid", F.explode(beside).alias("p")).select("sid", "p.print", "p.beside").distinct()
+    dealt = rows.repartition("print").sortWithinPartitions("print", "beside", "sid")
+    pairs = materialise(dealt.mapInArrow(_neighbours, "u long, v long").distinct())
+    wanted = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+    own = sets.select("sid", "n", "sketch").join(wanted, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    own = materialise(own)
+    both = pairs.join(own.select(F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("a")), "u").join(own.select(F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("b")), "v")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for nu, nv, a, b in zip(batch.column("nu").to_pylist(), batch.column("nv").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                x, y = (z.values.to_numpy(zero_copy_only=False).view(np.uint64) for z in (a, b))
+                common = np.intersect1d(x, y, assume_unique=True)
+                if max(nu, nv) <= SKETCH:
+                    keep.append(len(common) + 1e-9 >= similarity * (nu + nv - len(common)))
+                else:
+                    union = np.union1d(x, y)[:SKETCH]
+                    keep.append(np.isin(union, common, assume_unique=True).sum() >= similarity * len(union))
+            out = batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            if out.num_rows:
+                yield out
+
+    return both.select("u", "v", "nu", "nv", "a", "b").mapInArrow(verified, "u long, v long")
+
+
+def _set_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v): the links of similar shingle sets, as links of fingerprints."""
+    sets = materialise(shingle_sets(docs, words))
+    named = materialise(prints.select("uid", "fp").join(sets.select("uid", "sid"), "uid").select("sid", "fp").distinct())
+    first = named.groupBy("sid").agg(F.min("fp").alias("first"))
+    inner = named.join(first, "sid").where("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    pairs = similar_sets(sets, similarity)
+    outer = pairs.join(first.select(F.col("sid").alias("u"), F.col("first").alias("x")), "u").join(first.select(F.col("sid").alias("v"), F.col("first").alias("y")), "v")
+    return inner.unionByName(outer.select(F.col("x").alias("u"), F.col("y").alias("v")))
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, uid, root, component_id) of every row: its fingerprint, its group and the smallest doc_id in it.
+
+    similarity: also link texts whose sets of shingles have at least this Jaccard similarity, which may lie further apart than RADIUS bits.
+    """
     prints = materialise(fingerprints(docs, words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(fingerprint_links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    links = fingerprint_links(distinct.select("fp"))
+    if similarity is not None:
+        links = links.unionByName(_set_links(docs, prints, words, similarity))
+    roots = connected_components(links).withColumnRenamed("node", "fp")
     grouped = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "uid", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float | None = 0.8) -> DataFrame:
     """docs with one row of each near-duplicate group: the one with the smallest doc_id (of several texts under it, any one)."""
-    groups = near_duplicates(docs, words)
+    groups = near_duplicates(docs, words, similarity)
     name = fresh(docs, "__uid")
     first = groups.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias(name)).select(name)
     kept = docs.withColumn(name, _uid()).join(first, name, "left_semi")
