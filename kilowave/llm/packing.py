@@ -17,10 +17,12 @@ own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,11 @@ from tokenizers import Tokenizer
 from .common import bounded_batches, materialise, slices
 
 SEQUENCE, END, CELL = 4096, 1, 50_000
-#: Words and stems whose ids a worker keeps at most, each; beyond that it starts anew.
-KEPT_WORDS = 600_000
-#: A stem that ends in a letter or digit, then ASCII punctuation other than an apostrophe: no token spans the two.
-STEM = re.compile(rb"((?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)\Z")
+#: Words and stems whose ids a worker keeps at most; beyond that it starts anew.
+KEPT_WORDS, KEPT_STEMS = 1_000_000, 1_500_000
+#: ASCII punctuation other than an apostrophe: after a letter or digit, no token spans its beginning.
+TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordIds:
@@ -43,23 +46,31 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), {}, {}
 
-    def learn(self, words: set[bytes]) -> None:
-        parts = [(m.groups() if (m := STEM.match(w)) else (w,)) for w in words]
-        new = list({x for p in parts for x in p} - self.stems.keys())
-        if len(self.stems) + len(new) > KEPT_WORDS:
-            self.stems.clear()
-            new = list({x for p in parts for x in p})
+    def learn(self, words: Iterable[bytes]) -> None:
+        parts, stems = [], self.stems
+        for w in words:
+            stem = w.rstrip(TAIL)
+            n = len(stem)
+            # the stem must end in a letter: ASCII, or Latin-1 other than the two signs among its letters
+            if n < len(w) and n and (stem[-1] in ENDS or n > 1 and stem[-2] == 0xC3 and stem[-1] not in (0x97, 0xB7)):
+                parts.append((w, stem, w[n:]))
+            else:
+                parts.append((w, w, b""))
+        new = {p[1] for p in parts} | {p[2] for p in parts}
+        if len(stems) + len(new) > KEPT_STEMS:
+            stems.clear()
+        new = [x for x in new if x not in stems]
         for stem, got in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            self.stems[stem] = np.array(got.ids, dtype="<u4").tobytes()
-        stems = self.stems
-        self.words.update((w, stems[p[0]] if len(p) == 1 else stems[p[0]] + stems[p[1]]) for w, p in zip(words, parts, strict=True))
+            stems[stem] = array("I", got.ids).tobytes()
+        self.words.update([(w, stems[a] + stems[b] if b else stems[a]) for w, a, b in parts])
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [None if b"<|" in t else t.lower().split() for t in texts]
         every = set().union(*(s for s in split if s))
-        new = every - self.words.keys()
-        if len(self.words) + len(new) > KEPT_WORDS:
-            self.words.clear()
+        table = self.words
+        new = [w for w in every if w not in table]  # set - keys() would go through the whole table
+        if len(table) + len(new) > KEPT_WORDS:
+            table.clear()
             new = every
         if new:
             self.learn(new)
@@ -70,7 +81,11 @@ class WordIds:
                 yield b"".join(map(self.words.__getitem__, words))
 
 
-_LOADED: dict[str, WordIds] = {}
+@cache
+def _coder(path: str) -> WordIds:
+    """The tables of this worker process, kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordIds(path)
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE) -> DataFrame:
@@ -79,10 +94,8 @@ def cut_pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE) -> DataFr
     end = np.array([END], dtype="<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if vocabulary not in _LOADED:
-            _LOADED[vocabulary] = WordIds(vocabulary)
-        coder = _LOADED[vocabulary]
+        coder = _coder(vocabulary)
+        gc.disable()  # the tables hold no cycles, and going through them again and again costs a fifth of the time
         for batch in slices(batches, "text"):
             doc, piece, start, length, crc = [], [], [], [], []
             texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
@@ -95,6 +108,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE) -> DataFr
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(each, "doc_id long, piece int, start long, length long, ids_crc32 long")
