@@ -108,8 +108,43 @@ def test_messy_documents(spark):
     for r in out:
         ids = [i for (i, _), f in zip(DOCS, prints, strict=True) if roots[f] == roots[r.fp % 2**64] and i is not None]
         assert r.component_id == (min(ids) if ids else None)
-    kept = N.drop_near_duplicates(docs, 4)
+    kept = N.drop_near_duplicates(docs, 4, None)
     assert kept.dtypes == docs.dtypes
     assert kept.count() == len(set(roots.values()))
     assert {r.doc_id for r in kept.collect()} >= {1, 5, 6, 7, 13}
     assert N.near_duplicates(docs.limit(0)).count() == 0 and N.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_similar_texts_are_linked_and_others_left(spark):
+    r = random.Random(8)
+    texts = [prose(r.choice([8, 60, 150, 900]), 100 + k) for k in range(30)]
+    for k in range(30):
+        words = texts[k].split()
+        for share in (0.01, 0.02, 0.05, 0.2):
+            own = list(words)
+            for at in r.sample(range(len(own)), max(1, int(share * len(own)))):
+                own[at] = "otra"
+            texts.append(" ".join(own))
+    texts += ["uno dos", "uno dos", "uno tres", "", texts[3].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(sets)))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) or (by_hand(texts[a], 5) ^ by_hand(texts[b], 5)).bit_count() <= 4:
+                x, y = root(a), root(b)
+                group[max(x, y)] = min(x, y)
+    want = {root(a) for a in range(len(sets))}
+    got = {r.doc_id for r in N.drop_near_duplicates(docs).collect()}
+    assert len(got ^ want) <= 2  # sets of over 512 shingles near 0.8 are estimated
