@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Python workers on this machine look for the package where the driver has it; on a cluster it is shipped (--py-files)."""
+    here, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (here, environment.get("PYTHONPATH"))))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in spark.checkpoint.dir, or under /tmp where that is unset."""
     return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/kilowave-{uuid.uuid4().hex}"

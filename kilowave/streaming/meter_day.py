@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.calendar import Calendar
 from ..functions.scalars import epoch_micros
 from ..operators import ingest
+from ..sources.files import workers_find_package
 
 MINUTE = 60_000_000
 HORIZON = "36 hours"
@@ -148,14 +149,9 @@ def stream_chain(raw: DataFrame, calendar: Calendar, perfil: str = "paridad") ->
     return transform(good, calendar)
 
 
-def configure(spark: SparkSession, partitions: int = 8) -> None:
-    """State in RocksDB; the number of partitions is fixed for the life of a checkpoint."""
-    import os
-    from pathlib import Path
-
-    here, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (here, environment.get("PYTHONPATH"))))
+def configure(spark: SparkSession) -> None:
+    """State in RocksDB. The number of shuffle partitions is fixed for the life of a checkpoint: set it before the first run."""
+    workers_find_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
