@@ -182,8 +182,11 @@ def train(docs: DataFrame) -> ByteGRU | None:
     h = F.xxhash64(F.col("doc_id").cast("long"), text)
     room = F.greatest(F.length(text) - SNIPPET, F.lit(0)) + 1
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length(text) > 0)).select(F.col("lang").cast("string").alias("lang"), h.alias("h"), text.substr(F.pmod(h, room).cast("int") + 1, F.lit(SNIPPET)).alias("t"))
+    # first within 32 parts of a language, so that a frequent one is ranked by 32 tasks and the last ranking sees a bounded number
+    part = F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h"))
+    few = rows.withColumn("n", part).where(F.col("n") <= PER_LANGUAGE).drop("n")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    sample = rows.withColumn("n", rank).where(F.col("n") <= PER_LANGUAGE).orderBy("n", "lang").limit(MOST_ROWS).collect()
+    sample = few.withColumn("n", rank).where(F.col("n") <= PER_LANGUAGE).orderBy("n", "lang").limit(MOST_ROWS).collect()
     languages = sorted({r.lang for r in sample})
     if not languages:
         return None
