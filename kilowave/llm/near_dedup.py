@@ -13,7 +13,7 @@ a bucket gives a spanning forest of its links.
 
 With a `similarity` (the pipeline: five-word shingles, 0.8) texts are linked by the Jaccard similarity of their shingle sets as
 well. Such texts differ in five to sixteen of 64 bits, far more than RADIUS, so their candidates come from SimHashes of small
-min-wise samples of the sets, which are equal for similar texts, and are verified on the sets.
+min-wise samples of the sets, which are equal for similar texts; a bucket is linked completely, and links are verified on the whole sets.
 
 Scale: equal fingerprints collapse first; a bucket streams through one task that holds MOST_IN_BUCKET
 fingerprints at most, and larger buckets are dealt out as pairs of chunks of that size.
@@ -258,8 +258,10 @@ def fingerprint_links(fps: DataFrame, bands: int = BANDS, most: int = MOST_IN_BU
 # -- similarity of shingle sets
 
 
-#: Samples of a shingle set, shingles in each, and shingles kept of a set for its similarity (all of them for most texts).
-SAMPLES, SAMPLE_SIZE, SKETCH = 16, 3, 512
+#: Samples of a shingle set, and shingles in each.
+SAMPLES, SAMPLE_SIZE = 16, 3
+#: Buckets of equal sample prints up to this size list their pairs; larger ones are dealt out in chunks of so many shingles.
+FEW, CHUNK_SHINGLES = 6, 1 << 20
 _ODD = np.array([random.Random(77 + k).getrandbits(64) | 1 for k in range(SAMPLES)], dtype=np.uint64)
 
 
@@ -277,92 +279,213 @@ def sample_prints(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(uid, sid, n, prints, sketch) of every row with a word: a hash of its shingle set, its size, sample fingerprints and least shingles."""
+    """(uid, sid, n, prints) of every row with a word: a hash of its shingle set, its size and sample fingerprints."""
     bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            w = words_of(batch.column("text"), PLAIN, lower=True)
-            h = w.hashes()
-            g = gram_hashes(h, words)
-            rows, sids, sizes, prints, sketches = [], [], [], [], []
-            for k, (lo, hi) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-                if lo == hi:
-                    continue
-                own = np.unique(g[lo : hi - words + 1] if hi - lo >= words else gram_hashes(h[lo:hi], hi - lo))
+            rows, sids, sizes, prints = [], [], [], []
+            for k, own in _shingles(batch, words):
                 rows.append(k), sizes.append(len(own))
                 sids.append(int(mix(own + np.uint64(9)).sum(dtype=np.uint64)))
                 prints.append(sample_prints(own).view(np.int64))
-                sketches.append(own[:SKETCH].view(np.int64))
             if rows:
-                cols = [batch.column("uid").take(pa.array(rows)), pa.array(np.array(sids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "sid", "n", "prints", "sketch"])
+                cols = [batch.column("uid").take(pa.array(rows)), pa.array(np.array(sids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "sid", "n", "prints"])
 
     rows = docs.select(_uid(), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "uid long, sid long, n int, prints array<long>, sketch array<long>")
+    return rows.mapInArrow(each, "uid long, sid long, n int, prints array<long>")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by print, beside: each set with the two before it and the first of its bucket."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
+def _shingles(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its sorted set of hashed shingles) of every row with a word."""
+    w = words_of(batch.column("text"), PLAIN, lower=True)
+    h = w.hashes()
+    g = gram_hashes(h, words)
+    for k, (lo, hi) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+        if lo < hi:
+            yield k, np.unique(g[lo : hi - words + 1] if hi - lo >= words else gram_hashes(h[lo:hi], hi - lo))
+
+
+def _whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(sid, n, own) of the wanted sets: all their shingles, from one text each."""
+    named = sets.join(wanted, "sid").groupBy("sid").agg(F.min("uid").alias("uid"))
+    bounded_batches(docs.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = list(_shingles(batch, words))
+            if found:
+                sid = batch.column("sid").take(pa.array([k for k, _ in found]))
+                yield pa.RecordBatch.from_arrays([sid, pa.array([len(x) for _, x in found], pa.int32()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["sid", "n", "own"])
+
+    texts = docs.select(_uid(), F.col("text").cast("string").alias("text")).join(named, "uid").select("sid", "text")
+    return texts.mapInArrow(each, "sid long, n int, own binary").groupBy("sid").agg(F.first("n").alias("n"), F.first("own").alias("own"))
+
+
+def _buckets(similarity: float, few: int, room: int):
+    """Rows sorted by print and n: all pairs of the small buckets that sizes allow (chunk -1), and the members of the others with their chunk."""
+
+    def table(u, v, key, n, chunk):
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(key), pa.array(n.astype(np.int32)), pa.array(chunk.astype(np.int32))], ["u", "v", "print", "n", "chunk"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sid, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hot, carried = None, 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                key, sid, n = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((key, "print"), (sid, "sid"), (n, "n")))
+            if not len(key):
+                continue
+            first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            size = np.diff(first, append=len(key))
+            big = size > few
+            big[0] |= hot is not None and key[0] == hot
+            listed = ~big
+            if batch is not None:
+                listed[-1] = False  # it may go on
+            bucket = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(key)) - first[bucket]
+            for lag in range(1, few):
+                at = np.flatnonzero(listed[bucket] & (place + lag < size[bucket]))
+                at = at[n[at] + 1e-9 >= similarity * n[at + lag]]
+                if len(at):
+                    yield table(np.maximum(sid[at], sid[at + lag]), np.minimum(sid[at], sid[at + lag]), np.zeros(len(at), np.int64), np.zeros(len(at)), np.full(len(at), -1))
+            before = np.cumsum(n) - n
+            before -= before[first][bucket]
+            if big[0] and hot is not None and key[0] == hot:
+                before[: size[0]] += carried
+            at = np.flatnonzero(big[bucket])
+            if len(at):
+                yield table(sid[at], sid[at], key[at], n[at], before[at] // room)
+            hot, carried = (int(key[-1]), int(before[-1] + n[-1])) if big[-1] else (None, 0)
+            last = len(key) if big[-1] or batch is None else first[-1]
+            key, sid, n = key[last:], sid[last:], n[last:]
+
+    return each
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within sets, as two arrays of their places.
+
+    The groups grow one set at a time. Two sets so similar share one of the rarest (1 - similarity) n + 1 shingles of either, so a set
+    is compared only with those not yet reached that do; all are verified.
+    """
+    n = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), n)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    first = np.cumsum(n) - n
+    order = np.lexsort((token, count[token], of))
+    rare = order[(np.arange(len(of)) - first[of]) < (n - np.ceil(similarity * n - 1e-9) + 1)[of]]
+    rare_first = np.searchsorted(of[rare], np.arange(len(sets) + 1))
+    rare_token = token[rare]
+    by = np.argsort(rare_token, kind="stable")
+    key, holder = rare_token[by], of[rare][by]
+    reached, mark, left = np.zeros(len(sets), bool), np.zeros(len(count), bool), len(sets)
+    us, vs, todo = [], [], []
+    for root in range(len(sets)):
+        if reached[root]:
             continue
-        key, sid = batch.column("print").to_numpy(), batch.column("sid").to_numpy()
-        skip = 0
-        if held is not None:
-            skip = len(held[0])
-            key, sid = np.concatenate([held[0], key]), np.concatenate([held[1], sid])
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        rows = np.arange(skip, len(key))
-        us, vs = [], []
-        for other in (rows - 1, rows - 2, head[rows]):
-            ok = (other >= 0) & (other < rows)
-            a, b = rows[ok], other[ok]
-            ok = (key[a] == key[b]) & (sid[a] != sid[b])
-            us.append(np.maximum(sid[a[ok]], sid[b[ok]])), vs.append(np.minimum(sid[a[ok]], sid[b[ok]]))
-        u, v = np.concatenate(us), np.concatenate(vs)
-        if len(u):
-            pairs = np.unique(np.stack([u, v], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-        last = np.unique([head[-1], max(len(key) - 2, head[-1]), len(key) - 1])
-        held = key[last], sid[last]
+        reached[root], left = True, left - 1
+        todo.append(root)
+        while todo and left:
+            at = todo.pop()
+            if 2 * left < len(holder) and left < 64:
+                near = np.flatnonzero(~reached)
+            else:
+                mine = rare_token[rare_first[at] : rare_first[at + 1]]
+                lo, hi = np.searchsorted(key, mine), np.searchsorted(key, mine, "right")
+                near = [holder[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if b > a]
+                if not near:
+                    continue
+                near = np.unique(np.concatenate(near))
+                near = near[~reached[near]]
+            near = near[np.minimum(n[near], n[at]) + 1e-9 >= similarity * np.maximum(n[near], n[at])]
+            if not len(near):
+                continue
+            own = token[first[at] : first[at] + n[at]]
+            mark[own] = True
+            size = n[near]
+            starts = np.cumsum(size) - size
+            common = np.add.reduceat(mark[token[np.arange(size.sum()) + np.repeat(first[near] - starts, size)]], starts, dtype=np.int64)
+            mark[own] = False
+            near = near[common + 1e-9 >= similarity * (n[at] + size - common)]
+            if len(near):
+                us.append(np.full(len(near), root)), vs.append(near)
+                reached[near] = True
+                left -= len(near)
+                todo.extend(near.tolist())
+                if 4 * len(near) > left:
+                    keep = ~reached[holder]
+                    key, holder = key[keep], holder[keep]
+        todo.clear()
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(us), np.concatenate(vs)
 
 
-def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs of different shingle sets, by sid, with a Jaccard similarity of at least so much.
+def _bucket_stream(similarity: float):
+    """Sets sorted by bucket and pair of chunks: the links within and between both."""
 
-    Sets that agree on a sample's fingerprint are candidates (sets of similarity s miss all samples with odds of about (1 - s**3)**16); within
-    a bucket they lie in order of another sample's, and each is compared with the two before it and the first, so a group of n copies gives 3n pairs
-    a sample at most. The similarity is exact for sets of up to SKETCH shingles and else taken over the SKETCH least of the union.
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sids, held = None, [], []
+
+        def closed():
+            u, v = set_links(held, similarity)
+            if len(u):
+                named = np.array(sids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(named[u]), pa.array(named[v])], ["u", "v"])
+
+        for batch in batches:
+            for *k, sid, own in zip(*(batch.column(c).to_pylist() for c in ("print", "i", "j", "sid", "own")), strict=True):
+                if k != key:
+                    if key is not None:
+                        yield from closed()
+                    key, sids, held = k, [], []
+                sids.append(sid), held.append(np.frombuffer(own, np.uint64))
+        if key is not None:
+            yield from closed()
+
+    return each
+
+
+def similar_sets(docs: DataFrame, sets: DataFrame, words: int, similarity: float, few: int = FEW, room: int = CHUNK_SHINGLES) -> DataFrame:
+    """(u, v): links of different shingle sets, by sid, whose closure is that of all pairs that share a bucket and have a Jaccard similarity of at least so much.
+
+    Sets that agree on a sample's fingerprint share a bucket (sets of similarity s miss all samples with odds of about (1 - s**3)**16). Buckets of
+    up to FEW sets list their pairs; a larger one gets the sets themselves and gives a spanning forest, in pairs of chunks that may hold similar
+    sizes. Every link is verified on the whole sets.
     """
-    beside = F.expr(f"transform(sequence(0, {SAMPLES - 1}), t -> named_struct('print', prints[t], 'beside', prints[(t + 1) % {SAMPLES}]))")
-    rows = sets.select("sid", F.explode(beside).alias("p")).select("sid", "p.print", "p.beside").distinct()
-    dealt = rows.repartition("print").sortWithinPartitions("print", "beside", "sid")
-    pairs = materialise(dealt.mapInArrow(_neighbours, "u long, v long").distinct())
-    wanted = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    own = sets.select("sid", "n", "sketch").join(wanted, "sid").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    own = materialise(own)
-    both = pairs.join(own.select(F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("a")), "u").join(own.select(F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("b")), "v")
+    rows = sets.select("sid", "n", F.explode("prints").alias("print")).distinct()
+    dealt = rows.repartition("print").sortWithinPartitions("print", "n", "sid")
+    dealt = materialise(dealt.mapInArrow(_buckets(similarity, few, room), "u long, v long, print long, n int, chunk int"))
+    wanted = dealt.select(F.col("u").alias("sid")).unionByName(dealt.select(F.col("v").alias("sid"))).distinct()
+    own = materialise(_whole_sets(docs, sets, wanted, words))
+    pairs = dealt.where("chunk < 0").select("u", "v").distinct()
+    both = pairs.join(own.select(F.col("sid").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("sid").alias("v"), F.col("own").alias("b")), "v")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for nu, nv, a, b in zip(batch.column("nu").to_pylist(), batch.column("nv").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
-                x, y = (z.values.to_numpy(zero_copy_only=False).view(np.uint64) for z in (a, b))
-                common = np.intersect1d(x, y, assume_unique=True)
-                if max(nu, nv) <= SKETCH:
-                    keep.append(len(common) + 1e-9 >= similarity * (nu + nv - len(common)))
-                else:
-                    union = np.union1d(x, y)[:SKETCH]
-                    keep.append(np.isin(union, common, assume_unique=True).sum() >= similarity * len(union))
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common + 1e-9 >= similarity * (len(x) + len(y) - common))
             out = batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
             if out.num_rows:
                 yield out
 
-    return both.select("u", "v", "nu", "nv", "a", "b").mapInArrow(verified, "u long, v long")
+    plain = both.select("u", "v", "a", "b").mapInArrow(verified, "u long, v long")
+    hot = dealt.where("chunk >= 0").select("print", "chunk", F.col("u").alias("sid"), "n")
+    if hot.isEmpty():
+        return plain
+    spans = hot.groupBy("print", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    later = spans.select("print", F.col("chunk").alias("j"), F.col("least").alias("next"))
+    cells = spans.withColumnRenamed("chunk", "i").join(later, "print").where((F.col("i") <= F.col("j")) & (F.col("most") + 1e-9 >= F.lit(similarity) * F.col("next")))
+    cells = cells.select("print", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"))
+    members = hot.select("print", "chunk", "sid").join(cells, ["print", "chunk"]).join(own.select("sid", "own"), "sid").select("print", "i", "j", "sid", "own")
+    dealt = members.repartition("print", "i", "j").sortWithinPartitions("print", "i", "j")
+    return plain.unionByName(dealt.mapInArrow(_bucket_stream(similarity), "u long, v long"))
 
 
 def _set_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -371,7 +494,7 @@ def _set_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float
     named = materialise(prints.select("uid", "fp").join(sets.select("uid", "sid"), "uid").select("sid", "fp").distinct())
     first = named.groupBy("sid").agg(F.min("fp").alias("first"))
     inner = named.join(first, "sid").where("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
-    pairs = similar_sets(sets, similarity)
+    pairs = similar_sets(docs, sets, words, similarity)
     outer = pairs.join(first.select(F.col("sid").alias("u"), F.col("first").alias("x")), "u").join(first.select(F.col("sid").alias("v"), F.col("first").alias("y")), "v")
     return inner.unionByName(outer.select(F.col("x").alias("u"), F.col("y").alias("v")))
 

@@ -148,3 +148,37 @@ def test_similar_texts_are_linked_and_others_left(spark):
     want = {root(a) for a in range(len(sets))}
     got = {r.doc_id for r in N.drop_near_duplicates(docs).collect()}
     assert len(got ^ want) <= 2  # sets of over 512 shingles near 0.8 are estimated
+
+
+def test_set_links_close_to_all_links():
+    for seed in range(6):
+        r = np.random.default_rng(seed)
+        sets = []
+        for _ in range(12):
+            base = r.integers(0, 1 << 62, r.integers(1, 80), dtype=np.uint64)
+            for _ in range(r.integers(1, 30)):
+                own = base.copy()
+                at = r.integers(0, len(own), r.integers(0, len(own) // 6 + 1))
+                own[at] = r.integers(0, 1 << 62, len(at), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([own, np.arange(9, dtype=np.uint64)])))
+        plain = [set(x.tolist()) for x in sets]
+        links = [(a, b) for a, x in enumerate(plain) for b, y in enumerate(plain[:a]) if 10 * len(x & y) >= 8 * len(x | y)]
+        u, v = N.set_links(sets, 0.8)
+        assert partition(zip(u.tolist(), v.tolist(), strict=True), range(len(sets))) == partition(links, range(len(sets)))
+        assert len(u) < len(sets)
+
+
+def test_every_copy_of_a_large_group_is_linked(spark):
+    text = prose(300, 40).split()
+    rows = [(0, " ".join(text))]
+    for k in range(1, 120):  # each changed in places of its own: similar to the original, less so to each other
+        own = list(text)
+        for at in random.Random(k).sample(range(5, 295, 6), 6):
+            own[at] = f"otra{k}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in N.drop_near_duplicates(docs).collect()] == [0]
+    sets = N.shingle_sets(docs, 5).cache()
+    for few, room in ((6, 1 << 20), (200, 1 << 20), (6, 3000)):  # forests, all pairs, pairs of chunks
+        links = N.similar_sets(docs, sets, 5, 0.8, few, room).collect()
+        assert len(partition([(r.u, r.v) for r in links], [r.sid for r in sets.collect()])) == 1
