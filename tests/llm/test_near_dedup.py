@@ -182,3 +182,19 @@ def test_every_copy_of_a_large_group_is_linked(spark):
     for few, room in ((6, 1 << 20), (200, 1 << 20), (6, 3000)):  # forests, all pairs, pairs of chunks
         links = N.similar_sets(docs, sets, 5, 0.8, few, room).collect()
         assert len(partition([(r.u, r.v) for r in links], [r.sid for r in sets.collect()])) == 1
+
+
+def test_similarity_of_long_texts_is_exact(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(12):
+        text = [f"w{k}x{n}" for n in range(3000)]
+        own = list(text)
+        for at in range(2, 3000, 46 if k % 2 else 44):  # a similarity of 0.804, or of 0.795
+            own[at] = f"otra{r.random()}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(own))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[a : a + 5]) for a in range(2996)} for i, t in rows}
+    want = {i for i in sets if i % 2 == 0 or 10 * len(sets[i] & sets[i - 1]) < 8 * len(sets[i] | sets[i - 1])}
+    assert len(want) == 18
+    assert {r.doc_id for r in N.drop_near_duplicates(docs).collect()} == want
