@@ -25,6 +25,47 @@ def test_a_passage_is_found_and_cut_once(spark):
     assert texts[4] == "" and texts[2].split() == prose(80, 3).split() + prose(20, 4).split()
 
 
+def words(name, n):
+    return [f"{name}{k}" for k in range(n)]
+
+
+def held(spark, texts):
+    """Places of words in passages, by document, that repeated_passages finds; all are held by the source as well where exact."""
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {}
+    for r in passages.repeated_passages(docs).collect():
+        assert r.source_doc_id < r.doc_id
+        if r.similarity == 1:
+            assert texts[r.doc_id][r.from_word : r.to_word] == texts[r.source_doc_id][r.source_from : r.source_to]
+        found.setdefault(r.doc_id, set()).update(range(r.from_word, r.to_word))
+    return found
+
+
+def exact(texts, least=50):
+    """Brute force: places of words in exact runs that an earlier document has."""
+    found, seen = {}, set()
+    for i, t in enumerate(texts):
+        grams = [tuple(t[k : k + least]) for k in range(len(t) - least + 1)]
+        for k, g in enumerate(grams):
+            if g in seen:
+                found.setdefault(i, set()).update(range(k, k + least))
+        seen.update(grams)
+    return found
+
+
+def test_an_exact_passage_is_found_behind_documents_with_parts_of_it(spark):
+    texts = []
+    for c in range(8):
+        p = words(f"p{c}x", 60)
+        texts.append(words(f"a{c}x", 40) + p + words(f"b{c}x", 30))
+        texts += [words(f"c{c}x{n}y", 30) + p[n * 2 : n * 2 + 40] + words(f"d{c}x{n}y", 30) for n in range(10)]
+        texts.append(words(f"e{c}x", 45) + p + words(f"f{c}x", 20))
+    want = exact(texts)
+    assert len(want) == 8
+    got = held(spark, texts)
+    assert all(places <= got.get(i, set()) for i, places in want.items())
+
+
 def test_fenwick_chains_match_brute_force():
     r = random.Random(1)
     for _ in range(40):
