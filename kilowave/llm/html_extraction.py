@@ -1,17 +1,21 @@
 """HTML extraction: content and boilerplate blocks told apart by a minimum cut.
 
-A page is cut into blocks of text at block-level elements. What a simple classifier makes of a block (the
-elements and names around it, length, links, punctuation) are its capacities to the two terminals: what it
-costs to call it boilerplate, or content. Neighbours on the page and blocks of one parent or of near parents in the tree are joined by
-edges that cost their weight if the two are labelled differently. The minimum cut is the cheapest labelling: blocks
-whose capacity outweighs all their edges are settled first, which changes no optimum; maximum flow (level
-graphs, blocking flows) settles the rest.
+A page is cut into blocks of text at block-level elements. The graph has a node for each block and one for each element
+that tells something by its tag, role or name (a container). Classifier costs are the capacities to the two terminals:
+a block's are log-odds of its text alone (length, sentence end, share of links, heading), at most TEXT_MOST in size; a
+container's are the log-odds of its kind, once for each of its blocks. Smoothness edges cost their weight if their ends are
+labelled differently: between neighbours on the page, between blocks of one parent, the weaker the further apart in the
+tree, and between a block and its innermost container. The minimum cut is the cheapest labelling of all blocks and containers
+together. So a one-word paragraph of an article is kept and a long advert goes, though their texts alone say the opposite, and
+a misleading name on one paragraph is outvoted. Nodes whose capacity outweighs all their edges are settled first, which
+changes no optimum; maximum flow (level graphs, blocking flows) settles the rest.
 
 White space (`<br>` included) within a block becomes one space; character references are decoded; content blocks are
 joined by a blank line. Whole pages are read. One pass, no shuffle; one page is held at a time.
 
-Defined cases: null and empty html, and pages without content, have an empty text; repeated rows each get a result;
-an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty html, and pages without content, have an empty text; very long pages are read whole, with the tree's
+last DEPTH ancestors telling nearness; a tie goes to content; repeated rows each get a result; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,20 +34,24 @@ from .common import bounded_batches
 # What elements and names tell.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object canvas audio video".split())
+RAW = frozenset("script style title textarea template iframe".split())
 SILENT = frozenset("button select option optgroup datalist label input output".split())
 BAD_ELEMENTS = frozenset("nav footer aside form menu dialog fieldset".split())
 GOOD_ELEMENTS = frozenset("article main".split())
-BAD_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment comments consent cookie cookies copyright disclaimer disqus footer form gdpr header legal login masthead menu modal "
-    "nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget".split()
-)
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-GOOD_NAMES = frozenset("article content entry main post story text".split())
+#: Words in names that tell furniture anywhere, and those that do so outside an article only or as the whole name.
+BAD_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs captcha comment comments consent cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar navigation "
+    "newsletter pager pagination popup promo promoted promotion sidebar signup sponsor sponsored subscribe subscription toolbar topbar".split()
+)
+DOUBTFUL_WORDS = frozenset("banner copyright form header notice notification recommended replies respond search share sharing social teaser widget".split())
+GOOD_WORDS = frozenset("article content entry post story".split())
+#: Elements of running text, whose names tell little about what is around them.
+INNER = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong span a blockquote pre code figure figcaption td th tr dt dd".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|\Z)""", re.I)
-NAME = re.compile(r"[a-z]+")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
 ENDS = re.compile(r"[.!?…:;\"'»”)]\Z")
 RIGHTS = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.I)
@@ -53,51 +61,80 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Nearest block-level ancestors that count for nearness in the tree.
 DEPTH = 12
 
+# Log-odds of containers, for each of their blocks: parts of the page that are furniture by element or role, by name, by a doubtful name; articles; names of content; blocks outside the article of a page that has one.
+FURNITURE, NAMED, DOUBTFUL, ARTICLE, CONTENT, OUTSIDE = -3.5, -3.2, -1.0, 3.0, 1.5, -1.5
+#: Edge of a block and its container; of neighbours: at least, and what nearness in the tree adds, a factor less for each step; of blocks of one parent with others between; share of it across containers.
+PULL, NEAR, NEARER, STEP, SAME, ACROSS = 3.0, 0.3, 1.2, 0.6, 0.8, 0.5
+#: What a block's text can weigh at most.
+TEXT_MOST = 2.9
 
-class Block:
-    __slots__ = ("good", "bad", "names", "linked", "parent", "path", "tag", "text")
 
-    def __init__(self, text, linked, node):
-        self.text, self.linked, self.tag = text, linked, node.tag
-        self.good, self.bad, self.names, self.path, self.parent = node.good, node.bad, node.names, node.path, node.path[-2] if len(node.path) > 1 else 0
+class Block:
+    __slots__ = ("box", "linked", "parent", "path", "tag", "text")
+
+    def __init__(self, text: str, linked: int, node: Node):
+        self.text, self.linked, self.tag, self.box = text, linked, node.tag, node.box
+        self.path, self.parent = node.path, node.path[-2] if len(node.path) > 1 else 0
+
+
+def name_odds(tag: str, attributes: str, inside: float) -> tuple[float, bool]:
+    """Log-odds of an element by its role and names, and whether they replace what its surroundings tell. inside: log-odds of those."""
+    out, replaces = 0.0, False
+    for m in ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2].strip("\"'")
+        if key == "role":
+            if value.lower() in BAD_ROLES:
+                return FURNITURE, True
+            if value.lower() in GOOD_ELEMENTS and inside >= 0:
+                out, replaces = ARTICLE, True
+            continue
+        for name in value.split():
+            words = [w.lower() for w in WORD.findall(name)]
+            if not words:
+                continue
+            whole = len(words) == 1
+            if any(w in BAD_WORDS for w in words):
+                if tag not in INNER or whole and inside <= 0:
+                    return NAMED, True
+                out += DOUBTFUL
+            elif any(w in DOUBTFUL_WORDS for w in words):
+                if inside <= 0 and whole and tag not in INNER:
+                    return NAMED, True
+                out += DOUBTFUL
+            elif tag in ("div", "section", "td") and inside >= 0 and not out and words[0] in GOOD_WORDS:
+                out = CONTENT
+    return out, replaces
 
 
 class Node:
-    """An open element, with what its ancestors tell."""
+    """An open element: its block-level ancestors, and the container it is in (an index; 0 for none)."""
 
-    __slots__ = ("bad", "good", "names", "path", "silent", "tag")
+    __slots__ = ("box", "path", "silent", "tag")
 
-    def __init__(self, tag: str, attributes: str, above: Node | None, number: int):
+    def __init__(self, tag: str, attributes: str, above: Node | None, number: int, boxes: list[float]):
         self.tag = tag
-        self.good, self.bad, self.names, self.silent = (above.good, above.bad, above.names, above.silent) if above else (False, False, 0, False)
+        self.box, self.silent = (above.box, above.silent or tag in SILENT) if above else (0, False)
         self.path = (*(above.path if above else ()), number)[-DEPTH:] if tag in BLOCK or not above else above.path
-        if tag in SILENT:
-            self.silent = True
-        if tag in BAD_ELEMENTS or tag == "header" and not self.good:
-            self.bad = True
-        if tag in GOOD_ELEMENTS and not self.bad:
-            self.good, self.names = True, 0
-        if attributes and tag not in ("html", "body"):
-            for m in ATTRIBUTE.finditer(attributes):
-                key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-                if key in ("class", "id"):
-                    found = set(NAME.findall(value))
-                    if found & BAD_NAMES and not (tag in GOOD_ELEMENTS):
-                        self.names += 1
-                    elif found & GOOD_NAMES and not self.names and not self.bad and tag in ("div", "section", "td"):
-                        self.good = self.good or bool(found & {"article", "entry", "post", "story"}) or "content" in found
-                elif key == "role" and value in BAD_ROLES:
-                    self.bad = True
-                elif key == "role" and value in ("main", "article") and not self.bad:
-                    self.good, self.names = True, 0
-                elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                    self.silent = True
-
-
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of text in page order."""
+        if tag in ("", "html", "body"):
+            return
+        inside, odds, replaces = boxes[self.box], 0.0, False
+        if tag in BAD_ELEMENTS or tag == "header" and inside <= 0:
+            odds, replaces = FURNITURE, True
+        elif tag in GOOD_ELEMENTS and inside >= 0:
+            odds, replaces = ARTICLE, True
+        if attributes and odds >= 0:
+            named, over = name_odds(tag, attributes, inside)
+            odds, replaces = (named, True) if over else (odds + named, replaces)
+        if odds and not (inside < DOUBTFUL and odds < 0):  # furniture in furniture is of one container
+            boxes.append(odds if replaces else min(inside + odds, ARTICLE))
+            self.box = len(boxes) - 1
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[float]]:
+    """Blocks of text in page order, and the log-odds of the containers that they name."""
     out: list[Block] = []
-    stack = [Node("", "", None, 0)]
+    boxes = [0.0]
+    stack = [Node("", "", None, 0, boxes)]
     parts: list[str] = []
     linked = links = number = at = 0
     owner, opened, unclosed = stack[0], Counter(), set()
@@ -168,50 +205,49 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k].tag in BLOCK:
                     break
         number += 1
-        stack.append(Node(tag, attributes or "", stack[-1], number))
+        stack.append(Node(tag, attributes or "", stack[-1], number, boxes))
         opened[tag] += 1
         if tag == "a":
             links = 1
     flush()
-    return out
+    return out, boxes
 
 
-def leaning(b: Block, with_main: bool) -> float:
-    """How much a block looks like content (positive) or boilerplate."""
+def text_odds(b: Block) -> float:
+    """How much a block's text looks like content (positive) or boilerplate."""
     words = b.text.count(" ") + 1
     share = b.linked / max(len(b.text), 1)
-    s = min(words / 12, 3) - 1.2 + (1 if ENDS.search(b.text) else 0)
+    s = min(words / 12, 3) - 1.2 + (0.6 if ENDS.search(b.text) else 0)
     if share > 0.5 and words < 40:
-        s -= 5 * share
+        s -= 1.5 * share
     if b.tag in HEADINGS:
-        s += 1.2
+        s += 0.6
     elif b.tag in ("li", "td", "th", "dd", "dt"):
-        s -= 0.4
-    if RIGHTS.search(b.text) and not b.good:
-        s -= 6
-    if b.good:
-        s += 7
-    elif with_main:
-        s -= 7
-    if b.names:
-        s -= 20
-    if b.bad:
-        s -= 40
-    return s
-
-
-def _edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    out, last = [], {}
+        s -= 0.2
+    if RIGHTS.search(b.text):
+        s -= 1.5
+    return max(-TEXT_MOST, min(s, TEXT_MOST))
+
+
+def page_graph(blocks: list[Block], boxes: list[float]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Capacities (positive: to the content terminal) and smoothness edges: nodes are the blocks, then their containers."""
+    held = Counter(b.box for b in blocks if b.box)
+    place = {box: len(blocks) + k for k, box in enumerate(held)}
+    outside = OUTSIDE if any(boxes[box] >= ARTICLE for box in held) else 0.0
+    unary = [text_odds(b) + (0 if b.box else outside) for b in blocks] + [boxes[box] * n for box, n in held.items()]
+    edges, last = [], {}
     for i, b in enumerate(blocks):
-        if i:
-            a = blocks[i - 1]
+        if b.box:
+            edges.append((i, place[b.box], PULL))
+        a = blocks[i - 1] if i else None
+        if a:
             apart = len(a.path) + len(b.path) - 2 * len(set(a.path) & set(b.path))
-            out.append((i - 1, i, 0.3 + 1.2 * 0.6**apart))
+            edges.append((i - 1, i, (NEAR + NEARER * STEP**apart) * (1 if a.box == b.box else ACROSS)))
         j = last.get(b.parent)
         if j is not None and j != i - 1:
-            out.append((j, i, 0.8))
+            edges.append((j, i, SAME * (1 if blocks[j].box == b.box else ACROSS)))
         last[b.parent] = i
-    return out
+    return unary, edges
 
 
 def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -295,14 +331,15 @@ def max_flow_sides(unary: list[float], edges: list[tuple[int, int, float]]) -> l
                 break
 
 
+def labelled(page: str) -> list[tuple[Block, bool]]:
+    """The blocks of a page, and whether the minimum cut leaves them on the side of content."""
+    blocks, boxes = blocks_of(page)
+    return list(zip(blocks, minimum_cut(*page_graph(blocks, boxes)), strict=False))
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page."""
-    if not page:
-        return ""
-    blocks = blocks_of(page)
-    with_main = sum(len(b.text) for b in blocks if b.good and not b.bad and not b.names) > 0
-    labels = minimum_cut([leaning(b, with_main) for b in blocks], _edges(blocks))
-    return "\n\n".join(b.text for b, content in zip(blocks, labels, strict=True) if content)
+    return "\n\n".join(b.text for b, content in labelled(page) if content) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
