@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a folder for tests where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file:///tmp/checkpoints"
     return where.rstrip("/")
 
@@ -26,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts lineage and survives lost executors.
 
-    The files go when the driver's file system object closes.
+    The files go by discard(), or when the driver's file system object closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kilowave-{uuid.uuid4().hex}"
@@ -34,7 +36,18 @@ def materialise(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    jvm.System.gc()  # Spark drops the shuffle files of a finished job once the driver has collected what refers to them
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more: all that came from them has been written since."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -81,11 +81,11 @@ def test_fenwick_chains_match_brute_force():
         assert max(value(list(zip(x, y, strict=True))) for x, y in got) == pytest.approx(best)
 
 
-def test_any_long_run_has_a_seed():
+def test_any_long_run_has_a_gram():
     r = np.random.default_rng(0)
     g = r.integers(0, 1 << 62, 5000, dtype=np.uint64)
-    at = passages.seed_positions(g, np.zeros(5000, np.int64))
-    assert np.diff(at).max() <= passages.GAP and at[0] < passages.GAP
+    at = passages.smallest(g, passages.GAP)
+    assert at.tolist() == [k + int(g[k : k + passages.GAP].argmin()) for k in range(len(g) - passages.GAP + 1)]
 
 
 def test_passages_of_messy_documents(spark):
