@@ -50,12 +50,21 @@ def discard(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: What makes a Python worker give memory back instead of keeping the most it ever had: settings of the C library and of Arrow.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that a run of very long texts does not fill a Python worker; let workers on this machine find the package."""
+    """Keep Arrow batches small, so that a run of very long texts does not fill a Python worker; let workers on this machine find the package.
+
+    This changes the session's two Arrow batch settings, and the environment of Python workers begun later, for good.
+    """
     here = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     if here not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, (here, environment.get("PYTHONPATH"))))
+    for name, value in WORKER_MEMORY.items():
+        environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -7,12 +7,13 @@ CELL pieces is packed at a time, so any number of cells run side by side, a task
 a cell leaves few part-filled bins. Pieces are dealt to cells by a row number that is fixed in a written
 table first, so repeated rows are no hot key and a lost executor changes nothing.
 
-Words are tokenised once per worker and kept in a bounded table: white space ends a token for this
-vocabulary and only case-folded text is looked up, so the ids are those of the whole text. Texts that contain
-`<|` go to the tokenizer whole, since control strings may be in them.
+Words are tokenised once per worker and kept in two tables of KEPT_BYTES at most, a young one and the one before it: white
+space ends a token for this vocabulary and only case-folded text is looked up, so the ids are those of the whole text.
+Texts that contain `<|` go to the tokenizer whole, since control strings may be in them.
 
-Defined cases: null and empty texts have END alone; repeated rows and null doc_ids are placed each on their
-own; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts have END alone; very long texts are tokenised whole, one at a time, and cut into pieces;
+repeated rows and null doc_ids are placed each on their own; of equal choices the smallest gap wins, of equal lengths the earlier row
+goes first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from tokenizers import Tokenizer
 from .common import bounded_batches, materialise, slices
 
 SEQUENCE, END, CELL = 4096, 1, 50_000
-#: Words and stems whose ids a worker keeps at most; beyond that it starts anew.
-KEPT_WORDS, KEPT_STEMS = 1_000_000, 1_500_000
+#: Bytes that each of a worker's two word tables and its table of stems may take, and what an entry takes beside its two texts.
+KEPT_BYTES, ENTRY_BYTES = 24 << 20, 170
 #: ASCII punctuation other than an apostrophe: after a letter or digit, no token spans its beginning.
 TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -43,10 +44,16 @@ ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 class WordIds:
     """Ids of texts, as little-endian 32-bit bytes, by tables of words and of stems."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.words, self.stems = Tokenizer.from_file(path), {}, {}
+    def __init__(self, path: str, most: int = KEPT_BYTES):
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.words, self.before, self.stems = {}, {}, {}
+        self.word_bytes = self.stem_bytes = 0
 
-    def learn(self, words: Iterable[bytes]) -> None:
+    def keep(self, found: dict[bytes, bytes]) -> None:
+        self.words.update(found)
+        self.word_bytes += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+
+    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         parts, stems = [], self.stems
         for w in words:
             stem = w.rstrip(TAIL)
@@ -56,24 +63,26 @@ class WordIds:
                 parts.append((w, stem, w[n:]))
             else:
                 parts.append((w, w, b""))
-        new = {p[1] for p in parts} | {p[2] for p in parts}
-        if len(stems) + len(new) > KEPT_STEMS:
+        if self.stem_bytes > self.most:
             stems.clear()
-        new = [x for x in new if x not in stems]
+            self.stem_bytes = 0
+        new = [x for x in {p[1] for p in parts} | {p[2] for p in parts} if x not in stems]
         for stem, got in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            stems[stem] = array("I", got.ids).tobytes()
-        self.words.update([(w, stems[a] + stems[b] if b else stems[a]) for w, a, b in parts])
+            stems[stem] = ids = array("I", got.ids).tobytes()
+            self.stem_bytes += ENTRY_BYTES + len(stem) + len(ids)
+        return {w: stems[a] + stems[b] if b else stems[a] for w, a, b in parts}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [None if b"<|" in t else t.lower().split() for t in texts]
         every = set().union(*(s for s in split if s))
-        table = self.words
-        new = [w for w in every if w not in table]  # set - keys() would go through the whole table
-        if len(table) + len(new) > KEPT_WORDS:
-            table.clear()
-            new = every
+        if self.word_bytes > self.most:  # words in use come back from the table before
+            self.words, self.before, self.word_bytes = {}, self.words, 0
+        new = [w for w in every if w not in self.words]  # set - keys() would go through the whole table
         if new:
-            self.learn(new)
+            before = self.before
+            known = {w: before[w] for w in new if w in before}
+            self.keep(known)
+            self.keep(self.learn([w for w in new if w not in known] if known else new))
         for text, words in zip(texts, split, strict=True):
             if words is None:
                 yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -96,19 +105,21 @@ def cut_pieces(docs: DataFrame, vocabulary: str, most: int = SEQUENCE) -> DataFr
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
         gc.disable()  # the tables hold no cycles, and going through them again and again costs a fifth of the time
-        for batch in slices(batches, "text"):
-            doc, piece, start, length, crc = [], [], [], [], []
-            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
-                ids += end
-                for k, lo in enumerate(range(0, len(ids), 4 * most)):
-                    part = ids[lo : lo + 4 * most]
-                    doc.append(doc_id), piece.append(k), start.append(lo // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
-        gc.enable()
+        try:
+            for batch in slices(batches, "text"):
+                doc, piece, start, length, crc = [], [], [], [], []
+                texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts), strict=True):
+                    ids += end
+                    for k, lo in enumerate(range(0, len(ids), 4 * most)):
+                        part = ids[lo : lo + 4 * most]
+                        doc.append(doc_id), piece.append(k), start.append(lo // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(each, "doc_id long, piece int, start long, length long, ids_crc32 long")
