@@ -23,10 +23,8 @@ def test_ids_are_the_tokenizers(texts):
         assert np.frombuffer(ids, "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
-def test_word_tables_start_anew_when_full(monkeypatch):
-    monkeypatch.setattr(P, "KEPT_WORDS", 5)
-    monkeypatch.setattr(P, "KEPT_STEMS", 5)
-    coder = P.WordIds(PATH)
+def test_word_tables_start_anew_when_full():
+    coder = P.WordIds(PATH, most=500)
     for text in ("uno dos tres. cuatro, cinco seis siete", "ocho nueve uno dos", "uno"):
         assert np.frombuffer(next(coder.encode([text.encode()])), "<u4").tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
