@@ -65,7 +65,7 @@ def test_injector_sequence(spark):
     assert {r.franja: r.energia_kwh for r in cells.collect()} == {"resto": 1.0, "punta": 0.8} and bad.count() == 0
     cells, bad = energy.chain(injector.records(spark, injector.play(["normal", "hueco", "reseteo"], datetime(2026, 9, 30, tzinfo=ZONE))), CAL)
     assert [r.motivo for r in bad.collect()] == ["contador_retrocede"] and all(r.indeterminada for r in cells.collect())
-    assert injector.ACTIONS["truncada"][2](sent[0], datetime(2026, 9, 30, tzinfo=ZONE)).calidad == "truncada"
+    assert injector.sends("truncada", sent[0], datetime(2026, 9, 30, tzinfo=ZONE)).calidad == "truncada"
 
 
 def test_simulated_fleet_is_the_published_one(spark):
@@ -77,8 +77,8 @@ def test_simulated_fleet_is_the_published_one(spark):
     assert a == b and 0.01 < 1 - len({(r.medidor_id, r.instante) for r in a}) / len(a) < 0.03
     eight = [dict(zip(("cabina_id", "n", "prob_caida", "latencia", "enlace_muerto", "m"), r, strict=True)) for r in simulator.fleet_rows(8, 2026)]
     marks = [q for c in eight for _, _, (*_, q, _) in simulator.cabinet_readings(c | {"medidores": [dict(zip(("medidor_id", "posicion", "modelo", "inicial", "escala"), m, strict=True)) for m in c["m"]]}, start, 1, 2026, simulator.Faults())]
-    shares = {q: round(100 * marks.count(q) / len(marks), 1) for q in set(marks)}
-    assert shares == {"ok": 36.1, "checksum_no_verificado": 63.2, "truncada": 0.7}
+    for quality, share in {"ok": 36.1, "checksum_no_verificado": 63.2, "truncada": 0.7}.items():
+        assert 100 * marks.count(quality) / len(marks) == pytest.approx(share, abs=0.6)
 
 
 def test_perfect_world_and_scenario_b(spark):
