@@ -13,7 +13,7 @@ COMMON_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2
 
 def upper_median(column: str) -> Column:
     """The median, the greater of the middle two: by counts of distinct values, no list of all."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)").cast("long")
 
 
 def epoch_micros(t: Column) -> Column:

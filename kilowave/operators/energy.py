@@ -16,15 +16,23 @@ from .ingest import with_day
 MINUTE = 60_000_000
 
 
+#: What arrival order goes by, as far as readings have it: time of arrival, place in the log, then the row's own values, so that ties give one answer.
+ARRIVAL = ("llegada", "particion", "desplazamiento", "valor", "cabina_id")
+
+
+def _arrivals(readings: DataFrame, arrival: tuple[str, ...]):
+    order = arrival or [c for c in ARRIVAL if c in readings.columns]
+    return Window.partitionBy("medidor_id", "fecha_local", "instante").orderBy(*(F.col(c).asc_nulls_last() for c in order))
+
+
 def deduplicate(readings: DataFrame, *arrival: str) -> DataFrame:
     """One reading per meter, local day and instant: the first to arrive. readings: with fecha_local."""
-    w = Window.partitionBy("medidor_id", "fecha_local", "instante").orderBy(*(arrival or ("llegada",)))
-    return readings.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return readings.withColumn("__n", F.row_number().over(_arrivals(readings, arrival))).where("__n = 1").drop("__n")
 
 
 def divergent_duplicates(readings: DataFrame, *arrival: str) -> DataFrame:
     """Later arrivals whose value differs from the first's: the contract profile's `duplicado_divergente`."""
-    w = Window.partitionBy("medidor_id", "fecha_local", "instante").orderBy(*(arrival or ("llegada",)))
+    w = _arrivals(readings, arrival)
     first = F.first("valor").over(w)
     return readings.withColumn("__n", F.row_number().over(w)).withColumn("__first", first).where("__n > 1 and not (valor <=> __first)").drop("__n", "__first")
 
@@ -51,6 +59,12 @@ def jumps(intervals: DataFrame, salto_maximo_kw: float) -> DataFrame:
     return intervals.withColumn("motivo", F.coalesce(F.col("motivo"), F.when(power > salto_maximo_kw, "salto_imposible")))
 
 
+def rounded(intervals: DataFrame, decimals_kwh: int = 3, decimals_minutes: int = 2) -> DataFrame:
+    """Intervals as they are shown: (medidor_id, cabina_id, desde, hasta, energia_kwh, separacion_minutos), rounded."""
+    minutes = F.col("separacion_us") / F.lit(float(MINUTE))
+    return intervals.select("medidor_id", "cabina_id", "desde", "hasta", F.round(F.col("energia_kwh").cast("double"), decimals_kwh).alias("energia_kwh"), F.round(minutes, decimals_minutes).alias("separacion_minutos"))
+
+
 def split(intervals: DataFrame, calendar: Calendar) -> DataFrame:
     """Parts of each interval by local day and band: (..., fecha_local, franja, parte_us, parte_kwh, interpolada)."""
     lo, hi = calendar.local(F.col("desde")), calendar.local(F.col("hasta"))
@@ -96,12 +110,57 @@ def cells(readings: DataFrame, calendar: Calendar, threshold: float | None = Non
     return aggregate(split(intervals.where("motivo is null"), calendar), calendar.separacion_maxima if threshold is None else threshold)
 
 
+def with_arrival(raw: DataFrame) -> DataFrame:
+    """raw with llegada and, of a log's records, particion and desplazamiento."""
+    out = raw.withColumn("llegada", F.unix_micros("timestamp"))
+    for name, own in (("partition", "particion"), ("offset", "desplazamiento")):
+        if name in raw.columns:
+            out = out.withColumn(own, F.col(name))
+    return out
+
+
+def counters(raw: DataFrame, calendar: Calendar, threshold: float | None = None) -> DataFrame:
+    """One row: messages, quarantined rows, duplicates dropped, intervals, cells and undetermined cells of a batch of raw records.
+
+    The records are parsed once and shuffled once: rows in quarantine, dealt by a hash of their payload, go along with the readings.
+    """
+    from .ingest import ingest
+
+    stamped = with_day(ingest(with_arrival(raw)), calendar)
+    bad = F.col("motivo").isNotNull()
+    group = F.when(bad, F.concat(F.lit("?"), F.coalesce(F.xxhash64("value"), F.lit(0)).cast("string"))).otherwise(F.col("medidor_id"))
+    order = [c for c in ARRIVAL if c in stamped.columns]
+    rows = stamped.select(group.alias("medidor_id"), "fecha_local", "instante", *order, bad.alias("malo"))
+    keys = ["medidor_id", "fecha_local"]
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys, "instante").orderBy(*(F.col(c).asc_nulls_last() for c in order))))
+    rows = rows.withColumn("repetido", ~F.col("malo") & (F.col("n") > 1)).withColumn("util", ~F.col("malo") & (F.col("n") == 1) & F.col("valor").isNotNull())
+    line = Window.partitionBy(*keys).orderBy(F.desc("util"), "instante")
+    ahead = F.lead(F.struct("util", "instante", "valor")).over(line)
+    rows = rows.withColumn("sig", ahead).withColumn("par", F.col("util") & F.coalesce(F.col("sig.util"), F.lit(False)))
+    rows = rows.withColumn("cae", F.col("par") & (F.col("sig.valor") < F.col("valor")))
+    midnight, a, b = F.col("fecha_local").cast("timestamp_ntz"), F.col("instante"), F.col("sig.instante")
+    edge = lambda minute: calendar.utc(midnight + F.make_dt_interval(mins=minute))
+    part = lambda r: F.struct(r["franja"].alias("franja"), micros_between(F.greatest(a, edge(r["desde"])), F.least(b, edge(r["hasta"]))).alias("us"))
+    parts = F.filter(F.transform(calendar.literal(), part), lambda p: p["us"] > 0)
+    whole = micros_between(a, b)
+    limit = int((calendar.separacion_maxima if threshold is None else threshold) * MINUTE)
+    cut = rows.select(*keys, "malo", "repetido", "util", "par", "cae", whole.alias("sep"), F.posexplode_outer(F.when(F.col("par") & ~F.col("cae"), parts)).alias("k", "p"))
+    head = F.coalesce(F.col("k") == 0, F.lit(True))
+    count = lambda which, name: F.count_if(head & which).alias(name)
+    per_cell = cut.groupBy(*keys, F.col("p.franja").alias("franja")).agg(
+        count(F.lit(True), "mensajes"), count(F.col("malo") | ~F.col("malo") & ~F.col("repetido") & ~F.col("util") | F.col("cae"), "cuarentena_total"), count(F.col("repetido"), "duplicados_descartados"),
+        count(F.col("par") & ~F.col("cae"), "consumos_emitidos"), F.max(F.col("p").isNotNull().cast("int")).alias("celdas_emitidas"),
+        F.max(F.coalesce((F.col("p.us") < F.col("sep")) & (F.col("sep") > limit), F.lit(False)).cast("int")).alias("celdas_indeterminadas"),
+    )
+    return per_cell.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in per_cell.columns[3:]))
+
+
 def chain(raw: DataFrame, calendar: Calendar, perfil: str = "paridad", cruzar_medianoche: bool = False) -> tuple[DataFrame, DataFrame]:
     """Raw records to (cells, quarantine); quarantine: (medidor_id, motivo, detalle, lectura)."""
     from .ingest import good, ingest, quarantine
 
-    stamped = ingest(raw.withColumn("llegada", F.unix_micros("timestamp")), perfil)
-    readings = with_day(good(stamped).select("medidor_id", "cabina_id", "instante", "valor", "llegada", "lectura"), calendar)
+    stamped = ingest(with_arrival(raw), perfil)
+    readings = with_day(good(stamped).select("medidor_id", "cabina_id", "instante", "valor", *(c for c in ARRIVAL[:3] if c in stamped.columns), "lectura"), calendar)
     once = deduplicate(readings)
     useless = once.where("valor is null").select("medidor_id", F.lit("sin_registro_util").alias("motivo"), F.lit(None).cast("string").alias("detalle"), F.to_json(F.col("lectura").dropFields("_corrupt")).alias("lectura"))
     intervals = difference(once.where("valor is not null"), cruzar_medianoche)

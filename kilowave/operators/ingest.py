@@ -22,7 +22,7 @@ def parse(raw: DataFrame) -> DataFrame:
     event = F.from_json(text, EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     shaped = F.coalesce(text.rlike(r"^\s*\{"), F.lit(False))
     own = F.nullif(F.col("lectura.medidor_id"), F.lit(""))
-    by_key = F.nullif(F.decode(F.col("key"), "UTF-8"), F.lit(""))
+    by_key = F.nullif(F.make_valid_utf8(F.col("key").cast("string")), F.lit(""))  # a bad byte becomes U+FFFD
     out = raw.withColumn("lectura", event).withColumn("medidor_id", F.coalesce(own, by_key))
     bad = ~shaped | F.col("lectura").isNull() | F.col("lectura._corrupt").isNotNull()
     return out.withColumn("motivo", F.when(bad, "json_invalido").when(F.col("medidor_id").isNull(), "sin_medidor_id"))
@@ -78,12 +78,20 @@ def good(stamped: DataFrame) -> DataFrame:
     return stamped.where("motivo is null")
 
 
-def quarantine(stamped: DataFrame) -> DataFrame:
-    """(medidor_id, motivo, detalle, lectura): unreadable payloads with their first bytes in hex, the rest with the event as JSON."""
+def quarantine(stamped: DataFrame, *also: str) -> DataFrame:
+    """(medidor_id, motivo, detalle, lectura, and columns `also`): unreadable payloads with their first bytes in hex, the rest with the event as JSON."""
     unreadable = F.col("motivo") == "json_invalido"
     detail = F.when(unreadable, F.hex(F.substring("value", 1, DETAIL_BYTES)))
     event = F.when(~unreadable, F.to_json(F.col("lectura").dropFields("_corrupt")))
-    return stamped.where("motivo is not null").select("medidor_id", "motivo", detail.alias("detalle"), event.alias("lectura"))
+    return stamped.where("motivo is not null").select("medidor_id", "motivo", detail.alias("detalle"), event.alias("lectura"), *also)
+
+
+def quarantine_messages(bad: DataFrame, *also: str) -> DataFrame:
+    """(key, value) of quarantined rows, both binary: the meter or nothing, and {motivo, detalle, bytes} of unreadable payloads or {motivo, lectura}."""
+    unreadable = F.to_json(F.struct("motivo", F.lit("carga ilegible").alias("detalle"), F.col("detalle").alias("bytes")))
+    event = F.concat(F.lit('{"motivo":"'), F.col("motivo"), F.lit('","lectura":'), F.coalesce("lectura", F.lit("null")), F.lit("}"))
+    value = F.when(F.col("motivo") == "json_invalido", unreadable).otherwise(event)
+    return bad.select(F.coalesce("medidor_id", F.lit("")).cast("binary").alias("key"), value.cast("binary").alias("value"), *also)
 
 
 def with_day(readings: DataFrame, calendar: Calendar) -> DataFrame:

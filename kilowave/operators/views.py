@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import Calendar
@@ -55,11 +55,27 @@ def rows(cells: DataFrame, calendar: Calendar, rounded: bool = True) -> DataFram
     return cells.select("medidor_id", "fecha_local", "franja", kwh.alias("energia_kwh"), quality_label(F.col("indeterminada"), F.col("interpolada")).alias("calidad"), bound.alias("error_pct"), "minutos_cubiertos", "minutos_indeterminados")
 
 
+def clock(minutes: Column) -> Column:
+    """Minutes as h:mm."""
+    whole = F.round(minutes, 0).cast("long")
+    return F.concat(F.floor(whole / 60).cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+def board(messages: DataFrame, calendar: Calendar) -> DataFrame:
+    """The dashboard's table of current cells from (clave, texto): key parts as columns, values rounded, times as h:mm, sorted by key."""
+    part = lambda i: F.split("clave", "\\|")[i]
+    cell = F.from_json("texto", "energia_kwh double, minutos_cubiertos double, minutos_indeterminados double, interpolada boolean, indeterminada boolean, separacion_maxima_minutos double")
+    cells = messages.select(part(0).alias("medidor_id"), part(1).cast("date").alias("fecha_local"), part(2).alias("franja"), cell.alias("c")).select("medidor_id", "fecha_local", "franja", "c.*")
+    out = rows(cells, calendar).withColumn("cubierto", clock(F.col("minutos_cubiertos"))).withColumn("indeterminado", clock(F.col("minutos_indeterminados")))
+    return out.drop("minutos_cubiertos", "minutos_indeterminados").orderBy("medidor_id", "fecha_local", "franja")
+
+
 def per_band(cells: DataFrame) -> DataFrame:
-    """Energy per band, with a bar of 28 characters for the largest."""
+    """Energy per band, the largest first, with a bar of 28 characters for it."""
     total = cells.groupBy("franja").agg(F.round(F.sum("energia_kwh"), 3).alias("energia_kwh"), F.count("*").alias("celdas"))
     most = F.max("energia_kwh").over(Window.partitionBy(F.lit(0)))
-    return total.withColumn("barra", F.repeat(F.lit("█"), F.when(most > 0, F.round(F.lit(28) * F.col("energia_kwh") / most, 0)).otherwise(0).cast("int")))
+    barred = total.withColumn("barra", F.repeat(F.lit("█"), F.when(most > 0, F.round(F.lit(28) * F.col("energia_kwh") / most, 0)).otherwise(0).cast("int")))
+    return barred.orderBy(F.desc("energia_kwh"), "franja")
 
 
 def trust(cells: DataFrame) -> DataFrame:

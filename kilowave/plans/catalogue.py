@@ -251,18 +251,8 @@ def top_motivos(spark, sf_dir):
 
 @query(f"{FULL}, {REASONS} SELECT count(*) AS mensajes, (SELECT count(*) FROM q) AS cuarentena_total, (SELECT count(*) FROM g) - (SELECT count(*) FROM d0) AS duplicados_descartados, (SELECT count(*) FROM i WHERE energia >= 0) AS consumos_emitidos, (SELECT count(*) FROM cells) AS celdas_emitidas, (SELECT count(*) FROM cells WHERE indeterminada) AS celdas_indeterminadas FROM k")
 def contadores(spark, sf_dir):
-    """The chain's counters, derived from its rows."""
-    raw = standin.raw(spark, sf_dir)
-    cells, bad = energy.chain(raw, CALENDAR)
-    good = ingest.good(ingest.ingest(raw.withColumn("llegada", F.unix_micros("timestamp"))))
-    days = ingest.with_day(good.select("medidor_id", "cabina_id", "instante", "valor", "llegada"), CALENDAR)
-    once = energy.deduplicate(days)
-    kept = energy.difference(once.where("valor is not null")).where("motivo is null")
-    one = lambda df, name, value=F.count("*"): df.agg(value.alias("n")).select(F.lit(name).alias("que"), "n")
-    rows = one(raw, "mensajes").unionByName(one(bad, "cuarentena_total")).unionByName(one(days, "con_duplicados")).unionByName(one(once, "sin_duplicados")).unionByName(one(kept, "consumos_emitidos"))
-    rows = rows.unionByName(one(cells, "celdas_emitidas")).unionByName(one(cells, "celdas_indeterminadas", F.count_if("indeterminada")))
-    wide = rows.agg(*(F.max(F.when(F.col("que") == n, F.col("n"))).alias(n) for n in ("mensajes", "cuarentena_total", "con_duplicados", "sin_duplicados", "consumos_emitidos", "celdas_emitidas", "celdas_indeterminadas")))
-    return wide.select("mensajes", "cuarentena_total", (F.col("con_duplicados") - F.col("sin_duplicados")).alias("duplicados_descartados"), "consumos_emitidos", "celdas_emitidas", "celdas_indeterminadas")
+    """The chain's counters, in one pass."""
+    return energy.counters(standin.raw(spark, sf_dir), CALENDAR)
 
 
 @query(f"WITH {GOOD} SELECT event_id, copia, CAST((epoch_us(publicada) - epoch_us(instante)) / 1000000 AS BIGINT) AS retraso_s FROM k WHERE falla IS NULL")
@@ -447,28 +437,74 @@ def primeras_lecturas(spark, sf_dir):
     return standin.readings(spark, sf_dir).orderBy("instante", "event_id").limit(40).select("medidor_id", _us().alias("instante_us"))
 
 
-@query(f"WITH {R}, c AS (SELECT cabina_id, count(DISTINCT medidor_id) AS n FROM r GROUP BY ALL) SELECT count(*) AS cabinas, CAST(sum(n) AS BIGINT) AS medidores, min(n) AS minimo, list_sort(list(n))[len(list(n)) // 2 + 1] AS mediana, max(n) AS maximo FROM c")
+@query(f"WITH {R}, c AS (SELECT cabina_id, count(DISTINCT medidor_id) AS n FROM r GROUP BY ALL) SELECT count(*) AS cabinas, CAST(sum(n) AS BIGINT) AS medidores, min(n) AS minimo, list_sort(list(n))[len(list(n)) // 2 + 1] AS mediana, max(n) AS maximo, CAST(coalesce(sum(n) FILTER (WHERE n >= 30), 0) AS DOUBLE) / sum(n) AS en_grandes FROM c")
 def resumen_parque(spark, sf_dir):
-    """Cabinets, meters and cabinet sizes; the upper median."""
+    """Cabinets, meters and cabinet sizes; the upper median; share of meters in cabinets of 30 or more."""
     c = standin.readings(spark, sf_dir).groupBy("cabina_id").agg(F.count_distinct("medidor_id").alias("n"))
-    sizes = F.sort_array(F.collect_list("n"))
-    return c.agg(F.count("*").alias("cabinas"), F.sum("n").alias("medidores"), F.min("n").alias("minimo"), F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")).alias("mediana"), F.max("n").alias("maximo"))
+    large = F.sum(F.when(F.col("n") >= 30, F.col("n")).otherwise(0)) / F.sum("n")
+    return c.agg(F.count("*").alias("cabinas"), F.sum("n").alias("medidores"), F.min("n").alias("minimo"), S.upper_median("n").alias("mediana"), F.max("n").alias("maximo"), large.alias("en_grandes"))
+
+
+@query("WITH " + ",\n".join([R, ONCE.format(src="r"), PAIRS.format(keys="medidor_id, fecha_local")]) + " SELECT medidor_id, epoch_us(desde) AS desde_us, epoch_us(hasta) AS hasta_us, round(CAST(energia AS DOUBLE), 3) AS energia_kwh, round(sep / 60000000.0, 2) AS separacion_minutos FROM i WHERE energia >= 0")
+def intervalos_redondeados(spark, sf_dir):
+    """Intervals as they are shown, rounded."""
+    return energy.rounded(_intervals(spark, sf_dir).where("motivo is null")).select("medidor_id", _us("desde").alias("desde_us"), _us("hasta").alias("hasta_us"), "energia_kwh", "separacion_minutos")
+
+
+@query(f"""{chain_sql()}, t AS (SELECT *, separacion_maxima_minutos * 100 / CASE franja WHEN 'valle' THEN 420.0 WHEN 'resto' THEN 780.0 ELSE 240.0 END AS e, CAST(round(minutos_cubiertos) AS BIGINT) AS c, CAST(round(minutos_indeterminados) AS BIGINT) AS u FROM cells)
+SELECT medidor_id, fecha_local, franja, round(energia_kwh, 3) AS energia_kwh, {LABEL} AS calidad, round(e, 1) AS error_pct, (c // 60) || ':' || lpad(CAST(c % 60 AS VARCHAR), 2, '0') AS cubierto, (u // 60) || ':' || lpad(CAST(u % 60 AS VARCHAR), 2, '0') AS indeterminado
+FROM t ORDER BY medidor_id, fecha_local, franja""")
+def tabla_tablero(spark, sf_dir):
+    """The dashboard's table from cell messages: key parts, label, error bound, times as h:mm, sorted by key."""
+    sent = views.split_contract(views.serialise(_cells(spark, sf_dir))).where("propia")
+    return views.board(sent, CALENDAR)
+
+
+@query(f"""WITH {RAW_SQL}, k AS (SELECT *, CASE falla WHEN 'json' THEN 'json_invalido' WHEN 'sin_medidor' THEN 'sin_medidor_id' WHEN 'ayer' THEN 'instante_invalido' WHEN 'sin_huso' THEN 'instante_sin_huso' END AS motivo FROM x)
+SELECT event_id, copia, CASE WHEN falla = 'sin_medidor' THEN '' ELSE medidor_id END AS clave, motivo, CASE WHEN falla = 'json' THEN '6573746F206E6F206573206A736F6E' END AS bytes, CASE WHEN falla <> 'json' THEN cabina_id END AS cabina_id FROM k WHERE motivo IS NOT NULL""")
+def mensajes_cuarentena(spark, sf_dir):
+    """Quarantined records as messages, read back: key, reason, payload in hex or the event."""
+    bad = ingest.quarantine(ingest.ingest(standin.raw(spark, sf_dir)), "event_id", "copia")
+    text = F.col("value").cast("string")
+    sent = ingest.quarantine_messages(bad, "event_id", "copia")
+    return sent.select("event_id", "copia", F.col("key").cast("string").alias("clave"), F.get_json_object(text, "$.motivo").alias("motivo"), F.get_json_object(text, "$.bytes").alias("bytes"), F.get_json_object(text, "$.lectura.cabina_id").alias("cabina_id"))
+
+
+TIED = f"""{R}, t AS (SELECT *, llegada // 7 AS cuando, CASE WHEN event_id % 9 = 0 THEN valor + 5 ELSE valor END AS v, unnest(CASE WHEN event_id % 9 = 0 THEN [0, 1] ELSE [0] END) AS copia FROM r)"""
+
+
+@query(f"""WITH {TIED} SELECT CASE WHEN event_id % 13 = 0 THEN 'M' || chr(65533) || CAST(event_id % 10 AS VARCHAR) ELSE medidor_id END AS medidor_id, epoch_us(instante) AS instante_us, min(CAST(CASE WHEN copia = 1 THEN v ELSE valor END AS DOUBLE)) AS valor FROM t GROUP BY 1, 2""")
+def claves_y_empates(spark, sf_dir):
+    """Readings whose key is no UTF-8, and two values of one instant that arrive at the same time: the lesser is first."""
+    df = standin.readings(spark, sf_dir)
+    odd = F.concat(F.encode(F.lit("M"), "UTF-8"), F.unhex(F.lit("FF")), F.encode((F.col("event_id") % 10).cast("string"), "UTF-8"))
+    key = F.when(F.col("event_id") % 13 == 0, odd).otherwise(F.col("medidor_id").cast("binary"))
+    copy = F.explode(F.when(F.col("event_id") % 9 == 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))).alias("copia")
+    value = (F.col("valor") + F.when(F.col("copia") == 1, 5).otherwise(0)).cast("double")
+    event = F.to_json(F.struct(F.date_format("instante", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("instante_lectura"), F.array(F.struct(F.lit("15.8.0").alias("obis"), value.alias("valor"))).alias("registros")))
+    raw = df.select("instante", "event_id", "valor", key.alias("key"), copy).select("key", event.cast("binary").alias("value"), F.timestamp_seconds(F.floor(F.col("event_id") / 7)).alias("timestamp"))
+    readings = ingest.with_day(ingest.good(ingest.ingest(energy.with_arrival(raw))), CALENDAR)
+    return energy.deduplicate(readings).select("medidor_id", _us().alias("instante_us"), "valor")
 
 
 # -- generators and the stream
 
 
-def _stream_cells(spark, sf_dir, files: int = 4) -> DataFrame:
+def _stream_cells(spark, sf_dir, batches: int = 4) -> DataFrame:
     from ..sources.files import scratch
     from ..streaming import meter_day
 
     meter_day.configure(spark)
     top = scratch(spark)
     df = standin.readings(spark, sf_dir)
-    rows = df.select("medidor_id", _us().alias("us"), F.col("valor").cast("double").alias("valor"), "cabina_id", "llegada", F.ntile(files).over(Window.partitionBy(F.lit(0)).orderBy("llegada")).alias("lote"))
-    for k in range(1, files + 1):  # a file a batch, in order of arrival
-        rows.where(F.col("lote") == k).drop("lote").coalesce(1).write.mode("append").parquet(f"{top}/in")
-    raw = spark.readStream.schema("medidor_id string, us long, valor double, cabina_id string, llegada long").option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
+    ends = df.agg(F.min("llegada").alias("a"), F.max("llegada").alias("b")).first()
+    step = -(-((ends.b or 0) - (ends.a or 0) + 1) // batches)
+    rows = df.select("medidor_id", _us().alias("us"), F.col("valor").cast("double").alias("valor"), "cabina_id", "llegada")
+    files = spark.sparkContext.defaultParallelism
+    for k in range(batches):  # so many files a batch, in order of arrival; an empty one has a file of no rows
+        part = rows.where((F.col("llegada") >= (ends.a or 0) + k * step) & (F.col("llegada") < (ends.a or 0) + (k + 1) * step))
+        part.repartition(files, F.xxhash64("llegada")).write.option("maxRecordsPerFile", 0).mode("append").parquet(f"{top}/in/lote={k}")
+    raw = spark.readStream.schema("medidor_id string, us long, valor double, cabina_id string, llegada long").option("maxFilesPerTrigger", files).parquet(f"{top}/in/lote=*")
     at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("us") / F.lit(1_000_000).cast("decimal(20,6)"))
     good = raw.select("medidor_id", at.alias("instante"), "valor", "cabina_id", "llegada", F.lit("").alias("lectura"))
     meter_day.run_to_folder(meter_day.transform(good, CALENDAR), f"{top}/out", f"{top}/checkpoint")
@@ -481,6 +517,29 @@ def flujo_celdas(spark, sf_dir):
     return _stream_cells(spark, sf_dir)
 
 
+@query(f"{FULL} SELECT * FROM cells")
+def repeticion(spark, sf_dir):
+    """The service over the raw records in files, replayed from their beginning without state: the cells that its messages leave; same SQL as the batch."""
+    from .. import service
+    from ..sources.files import scratch
+    from ..sources.schemas import CELL
+
+    top = scratch(spark)
+    standin.raw(spark, sf_dir).select("key", "value", "timestamp").repartition(4, "timestamp").write.parquet(f"{top}/in")
+    service.replay(spark, service.folder_source(spark, f"{top}/in", 2), CALENDAR, f"{top}/out")
+    last = service.current(service.read_messages(spark, f"{top}/out/consumo"))
+    part, kinds = F.split("clave", "\\|"), CELL.partition("franja string, ")[2]
+    return last.select(part[0].alias("medidor_id"), part[1].cast("date").alias("fecha_local"), part[2].alias("franja"), F.from_json("texto", kinds).alias("c")).select("medidor_id", "fecha_local", "franja", "c.*")
+
+
+@query(f"WITH {R} SELECT 1 + max(event_id) - min(event_id) AS n FROM events")
+def conteo_desplazamientos(spark, sf_dir):
+    """Records of a log by its offsets."""
+    from ..sources.settings import offset_count
+
+    return offset_count(standin.readings(spark, sf_dir).select(F.lit(0).alias("partition"), F.col("event_id").alias("offset")))
+
+
 @query()
 def escenario_simulador(spark, sf_dir):
     """Cells of a simulated day of three cabinets."""
@@ -505,3 +564,18 @@ def inyector_acciones(spark, sf_dir):
     sent = injector.play(["normal", "normal", "normal", "duplicado", "tardia"], datetime(2026, 9, 30, tzinfo=ZoneInfo(CALENDAR.zona)))
     cells = energy.chain(injector.records(spark, sent), CALENDAR)[0]
     return cells.select("franja", "energia_kwh", "minutos_cubiertos", "minutos_indeterminados", "interpolada", "intervalos_usados")
+
+
+@query("SELECT que, nombre, energia_kwh::DOUBLE AS energia_kwh, minutos::DOUBLE AS minutos, indeterminada FROM (VALUES ('celda', 'resto', 0.9, 5, true), ('celda', 'punta', 0.0, 95, true), ('cuarentena', 'contador_retrocede', NULL, NULL, NULL)) t(que, nombre, energia_kwh, minutos, indeterminada)")
+def inyector_faltas(spark, sf_dir):
+    """The injector's other story: two steps, a gap over the band's edge, the counter at zero."""
+    from datetime import datetime
+    from zoneinfo import ZoneInfo
+
+    from ..sources import injector
+
+    sent = injector.play(["normal", "normal", "hueco", "reseteo"], datetime(2026, 9, 30, tzinfo=ZoneInfo(CALENDAR.zona)))
+    cells, bad = energy.chain(injector.records(spark, sent), CALENDAR)
+    one = cells.select(F.lit("celda").alias("que"), F.col("franja").alias("nombre"), "energia_kwh", (F.col("minutos_indeterminados")).alias("minutos"), "indeterminada")
+    none = lambda t: F.lit(None).cast(t)
+    return one.unionByName(bad.select(F.lit("cuarentena").alias("que"), F.col("motivo").alias("nombre"), none("double").alias("energia_kwh"), none("double").alias("minutos"), none("boolean").alias("indeterminada")))

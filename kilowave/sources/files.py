@@ -18,8 +18,16 @@ def workers_find_package(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, or under /tmp where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/kilowave-{uuid.uuid4().hex}"
+    """A new folder in spark.checkpoint.dir; where that is unset, under /tmp if driver and tasks share one machine."""
+    return f"{shared(spark)}/kilowave-{uuid.uuid4().hex}"
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (where or "file:///tmp/checkpoints").rstrip("/")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

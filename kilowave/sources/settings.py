@@ -1,4 +1,4 @@
-"""Settings from the environment, and Kafka options; the connector itself is not installed here and stays untested."""
+"""Settings from the environment, and Kafka topics; the connector itself is not installed here, so reading and writing topics stays untested."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ class Settings:
     grupo: str = "kilowave"
     calendario: str = "config/franjas.toml"
     particiones: int = 8
-    checkpoint: str = "checkpoints/celdas"
+    checkpoint: str = ""
 
     @classmethod
     def from_environment(cls, env=os.environ) -> Settings:
@@ -35,10 +35,40 @@ def kafka_options(s: Settings, topic: str, reading: bool = True) -> dict[str, st
     return {"kafka.bootstrap.servers": s.servidores, "topic": topic, "kafka.acks": "all", "kafka.enable.idempotence": "true", "includeHeaders": "true"}
 
 
-def read_kafka(spark: SparkSession, s: Settings, topic: str, stream: bool = True) -> DataFrame:
-    """A topic from its beginning; as a batch, up to its end, or an empty table if it can't be read."""
-    source = spark.readStream if stream else spark.read
-    return source.format("kafka").options(**kafka_options(s, topic)).load()
+def read_kafka(spark: SparkSession, s: Settings, topic: str, stream: bool = True, most: int | None = None) -> DataFrame:
+    """A topic from its beginning: as a stream (at most so many records a batch), or as a batch up to its end (the first so many)."""
+    source = (spark.readStream if stream else spark.read).format("kafka").options(**kafka_options(s, topic))
+    if stream:
+        return (source.option("maxOffsetsPerTrigger", str(most)) if most else source).load()
+    table = source.load()
+    return table.orderBy("timestamp", "partition", "offset").limit(most) if most else table
+
+
+#: What the errors of a topic or broker that is not there say.
+ABSENT = ("UnknownTopicOrPartition", "TimeoutException", "No resolvable bootstrap urls")
+
+
+def read_topic(spark: SparkSession, s: Settings, topic: str) -> DataFrame:
+    """A whole topic as a batch; an empty table if topic or broker is not there."""
+    table = read_kafka(spark, s, topic, stream=False)
+    try:
+        table.isEmpty()
+    except Exception as e:
+        if not any(x in str(e) for x in ABSENT):
+            raise
+        return table.sparkSession.createDataFrame([], table.schema)
+    return table
+
+
+def offset_count(records: DataFrame) -> DataFrame:
+    """Records by the log's offsets: last less first and one, summed over partitions (columns partition, offset)."""
+    own = records.groupBy("partition").agg((F.max("offset") - F.min("offset") + 1).alias("n"))
+    return own.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+
+
+def write_kafka(messages: DataFrame, s: Settings, topic: str) -> None:
+    """key, value and, if there are, headers to a topic."""
+    messages.select(*(c for c in ("key", "value", "headers") if c in messages.columns)).write.format("kafka").options(**kafka_options(s, topic, reading=False)).save()
 
 
 def with_headers(readings: DataFrame) -> DataFrame:

@@ -87,11 +87,12 @@ class MeterDay(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         meter, start = key[0], int(key[1])
         new = [r for pdf in rows for r in zip(pdf["llegada"], pdf["instante_us"], pdf["valor"], pdf["cabina_id"], pdf["lectura"], strict=True)]
+        arrival = lambda r: (r[0], r[2] is None or r[2] != r[2], r[2] if r[2] == r[2] else 0, r[3] or "", r[4] or "")
         out = []
         if not self.readings.exists():
             day, edges = day_edges(self.calendar, start)
             self.handle.registerTimer(edges[-1][2] // 1000)
-        for _, us, value, cabinet, text in sorted(new, key=lambda r: r[0]):
+        for _, us, value, cabinet, text in sorted(new, key=arrival):
             if self.readings.containsKey((int(us),)):
                 continue
             lost = value is None or value != value
@@ -144,9 +145,12 @@ def transform(good: DataFrame, calendar: Calendar) -> DataFrame:
 
 def stream_chain(raw: DataFrame, calendar: Calendar, perfil: str = "paridad") -> DataFrame:
     """A stream of raw records to one of tagged rows (OUT): cells and what the stateful step quarantines."""
-    stamped = ingest.ingest(raw.withColumn("llegada", F.unix_micros("timestamp")), perfil)
-    good = ingest.good(stamped).select("medidor_id", "instante", "valor", "cabina_id", "llegada", F.to_json(F.col("lectura").dropFields("_corrupt")).alias("lectura"))
-    return transform(good, calendar)
+    return transform(good_rows(ingest.ingest(raw.withColumn("llegada", F.unix_micros("timestamp")), perfil)), calendar)
+
+
+def good_rows(stamped: DataFrame) -> DataFrame:
+    """The good ones of stamped rows, as transform takes them."""
+    return ingest.good(stamped).select("medidor_id", "instante", "valor", "cabina_id", "llegada", F.to_json(F.col("lectura").dropFields("_corrupt")).alias("lectura"))
 
 
 def configure(spark: SparkSession) -> None:

@@ -115,3 +115,51 @@ def test_truncation_stays_a_number():
 
     for k, v in itertools.product(range(20), (1.0, 12.345, 14380.81)):
         assert simulator.truncate(v, random.Random(k)) <= v + 1e-9
+
+
+def test_service_restart_quarantine_and_late_rows(spark, tmp_path):
+    from functools import partial
+
+    from kilowave import service
+    from kilowave.__main__ import main
+
+    def put(k, rows):
+        spark.createDataFrame([(b"MED-1", v.encode(), t) for v, t in rows], RAW).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    on = datetime(2026, 9, 25, 21)
+    put(0, [(reading("17:40", 100.0), on), ("no json", on), (reading("17:55", 101.5), on)])
+    run = partial(service.run, service.folder_source(spark, f"{tmp_path}/in"), partial(service.chain, calendar=CAL, separar_tardias=True), service.folder_sink(f"{tmp_path}/c"), service.folder_sink(f"{tmp_path}/q"), f"{tmp_path}/checkpoint")
+    assert run()["mensajes_cuarentena"] == 1
+    put(1, [(reading("18:20", 105.5), on), (reading("18:30", 1.0), on), (reading("19:00", 106.0), datetime(2026, 9, 29))])
+    counted = run()
+    assert counted["mensajes_consumo"] == 2 and counted["mensajes_cuarentena"] == 2
+    cells = {r.clave.split("|")[2]: json.loads(r.texto)["energia_kwh"] for r in service.current(service.read_messages(spark, f"{tmp_path}/c")).collect()}
+    assert cells == {"resto": 2.3, "punta": 3.2}
+    bad = [json.loads(r.value) for r in service.read_messages(spark, f"{tmp_path}/q").collect()]
+    assert {b["motivo"] for b in bad} == {"json_invalido", "contador_retrocede", "fuera_de_horizonte"}
+    assert next(b for b in bad if b["motivo"] == "json_invalido")["bytes"] == b"no json".hex().upper()
+    same = service.run(service.folder_source(spark, f"{tmp_path}/in"), service.passthrough, service.folder_sink(f"{tmp_path}/p"))
+    assert same["mensajes_consumo"] == 6 == service.read_messages(spark, f"{tmp_path}/p").count()
+    assert service.read_messages(spark, f"{tmp_path}/none").count() == 0
+    assert main(["demo"], spark) == 0
+
+
+def test_cli_simulates_lines(spark, tmp_path):
+    from kilowave.__main__ import main
+
+    assert main(["simulate", f"{tmp_path}/lines", "--cabinas", "1", "--inicio", "2026-09-22", "--perfecto"], spark) == 0
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/lines").collect()]
+    assert lines and {x["instante_lectura"][-6:] for x in lines} == {"-03:00"}
+    assert [x["publicado_at"] for x in lines] == sorted(x["publicado_at"] for x in lines)
+
+
+def test_a_key_that_is_no_utf8_and_ties(spark):
+    from kilowave.operators import ingest
+
+    body = json.loads(reading("17:40", 100.0))
+    body.pop("medidor_id", None)
+    rows = [(b"M\xff", json.dumps(body).encode(), datetime(2026, 9, 25)), (b"M\xff", json.dumps(body).replace("100.0", "90.0").encode(), datetime(2026, 9, 25))]
+    for own in (rows, rows[::-1]):
+        good = ingest.good(ingest.ingest(energy.with_arrival(spark.createDataFrame(own, RAW))))
+        once = energy.deduplicate(ingest.with_day(good, CAL)).collect()
+        assert [(r.medidor_id, r.valor) for r in once] == [("M\ufffd", 90.0)]
