@@ -25,8 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which cuts lineage and survives lost executors.
+def materialise(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back, which cuts lineage and survives lost executors. made: gets the table.
 
     The files go by discard(), or when the driver's file system object closes.
     """
@@ -38,6 +38,8 @@ def materialise(df: DataFrame) -> DataFrame:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if made is not None:
+        made.append(out)
     jvm.System.gc()  # Spark drops the shuffle files of a finished job once the driver has collected what refers to them
     return out
 
@@ -100,8 +102,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge: (node, root).
 
     edges: (u, v) longs, any direction, repeats and loops allowed. Alternating large-star and
-    small-star rounds, each written to the shared folder; a round is two aggregations and two equi-joins,
-    and no node's neighbours are ever gathered into one row.
+    small-star rounds, each written to the shared folder in place of the one before; a round is two aggregations and two
+    equi-joins, and no node's neighbours are ever gathered into one row. When this returns, edges is needed no more.
     """
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _fingerprint(e)
@@ -113,8 +115,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
+        before, e = e, materialise(small.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
         now = _fingerprint(e)
+        discard(before)
         if now == seen:
             break
         seen = now

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import PLAIN, gram_hashes, mix, words_of
-from .common import bounded_batches, connected_components, fresh, materialise, slices
+from .common import bounded_batches, connected_components, discard, fresh, materialise, slices
 
 BANDS, RADIUS = 6, 4
 #: Pivots: reference fingerprints, from a fixed seed. KEY_PIVOTS of them make the join key of a band choice.
@@ -234,15 +234,15 @@ def _pair_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed()
 
 
-def fingerprint_links(fps: DataFrame, bands: int = BANDS, most: int = MOST_IN_BUCKET) -> DataFrame:
-    """(u, v): links between distinct fingerprints of column fp whose closure is the closure of all links."""
+def fingerprint_links(fps: DataFrame, bands: int = BANDS, most: int = MOST_IN_BUCKET, made: list[DataFrame] | None = None) -> DataFrame:
+    """(u, v): links between distinct fingerprints of column fp whose closure is the closure of all links. made: gets the tables it reads."""
     choices = []
     for i, mask in enumerate(band_masks(bands)):
         vector = " | ".join(f"shiftleft(cast(bit_count((fp ^ {_signed(p)}L) & {_signed(mask)}L) as bigint), {5 * k})" for k, p in enumerate(PIVOTS[:KEY_PIVOTS]))
         choices.append(f"named_struct('band', {i}, 'vec', {vector})")
     keyed = fps.select("fp", F.expr(f"inline(array({', '.join(choices)}))"))
     dealt = keyed.repartition(F.col("band"), F.col("vec")).sortWithinPartitions("band", "vec")
-    links = materialise(dealt.mapInArrow(_link_stream(most), "u long, v long, chunk int, band int, vec long"))
+    links = materialise(dealt.mapInArrow(_link_stream(most), "u long, v long, chunk int, band int, vec long"), made)
     plain = links.where("chunk < 0").select("u", "v")
     hot = links.where("chunk >= 0").select("band", "vec", "chunk", F.col("u").alias("fp"))
     last = hot.groupBy("band", "vec").agg(F.max("chunk").alias("last"))
@@ -449,7 +449,7 @@ def _bucket_stream(similarity: float):
     return each
 
 
-def similar_sets(docs: DataFrame, sets: DataFrame, words: int, similarity: float, few: int = FEW, room: int = CHUNK_SHINGLES) -> DataFrame:
+def similar_sets(docs: DataFrame, sets: DataFrame, words: int, similarity: float, few: int = FEW, room: int = CHUNK_SHINGLES, made: list[DataFrame] | None = None) -> DataFrame:
     """(u, v): links of different shingle sets, by sid, whose closure is that of all pairs that share a bucket and have a Jaccard similarity of at least so much.
 
     Sets that agree on a sample's fingerprint share a bucket (sets of similarity s miss all samples with odds of about (1 - s**3)**16). Buckets of
@@ -458,9 +458,9 @@ def similar_sets(docs: DataFrame, sets: DataFrame, words: int, similarity: float
     """
     rows = sets.select("sid", "n", F.explode("prints").alias("print")).distinct()
     dealt = rows.repartition("print").sortWithinPartitions("print", "n", "sid")
-    dealt = materialise(dealt.mapInArrow(_buckets(similarity, few, room), "u long, v long, print long, n int, chunk int"))
+    dealt = materialise(dealt.mapInArrow(_buckets(similarity, few, room), "u long, v long, print long, n int, chunk int"), made)
     wanted = dealt.select(F.col("u").alias("sid")).unionByName(dealt.select(F.col("v").alias("sid"))).distinct()
-    own = materialise(_whole_sets(docs, sets, wanted, words))
+    own = materialise(_whole_sets(docs, sets, wanted, words), made)
     pairs = dealt.where("chunk < 0").select("u", "v").distinct()
     both = pairs.join(own.select(F.col("sid").alias("u"), F.col("own").alias("a")), "u").join(own.select(F.col("sid").alias("v"), F.col("own").alias("b")), "v")
 
@@ -488,13 +488,13 @@ def similar_sets(docs: DataFrame, sets: DataFrame, words: int, similarity: float
     return plain.unionByName(dealt.mapInArrow(_bucket_stream(similarity), "u long, v long"))
 
 
-def _set_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+def _set_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float, made: list[DataFrame]) -> DataFrame:
     """(u, v): the links of similar shingle sets, as links of fingerprints."""
-    sets = materialise(shingle_sets(docs, words))
-    named = materialise(prints.select("uid", "fp").join(sets.select("uid", "sid"), "uid").select("sid", "fp").distinct())
+    sets = materialise(shingle_sets(docs, words), made)
+    named = materialise(prints.select("uid", "fp").join(sets.select("uid", "sid"), "uid").select("sid", "fp").distinct(), made)
     first = named.groupBy("sid").agg(F.min("fp").alias("first"))
     inner = named.join(first, "sid").where("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
-    pairs = similar_sets(docs, sets, words, similarity)
+    pairs = similar_sets(docs, sets, words, similarity, made=made)
     outer = pairs.join(first.select(F.col("sid").alias("u"), F.col("first").alias("x")), "u").join(first.select(F.col("sid").alias("v"), F.col("first").alias("y")), "v")
     return inner.unionByName(outer.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
@@ -506,10 +506,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: float | None =
     """
     prints = materialise(fingerprints(docs, words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = fingerprint_links(distinct.select("fp"))
+    made: list[DataFrame] = []
+    links = fingerprint_links(distinct.select("fp"), made=made)
     if similarity is not None:
-        links = links.unionByName(_set_links(docs, prints, words, similarity))
+        links = links.unionByName(_set_links(docs, prints, words, similarity, made))
     roots = connected_components(links).withColumnRenamed("node", "fp")
+    discard(*made)
     grouped = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "root", "component_id")
