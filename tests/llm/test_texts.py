@@ -157,10 +157,29 @@ def test_conversations_round_trip(spark):
         if w[0] != -7:
             assert tuple(got[w[0]]) == w
     starts = chat.format_conversations(turns).where("conv_id = 1").orderBy("seq").collect()
-    assert [s.start for s in starts] == list(itertools.accumulate([0] + [len(s.ids) for s in starts[:-1]]))
+    assert [s.start for s in starts] == list(itertools.accumulate([0] + [len(s.ids) // 4 for s in starts[:-1]]))
     assert chat.read_back(chat.format_conversations(turns.limit(0))).count() == 0
 
 
+def test_byte_table_is_the_tokenizers_decoding():
+    import public_tokenizers
+
+    coder = chat._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    table = chat.token_bytes(coder)
+    for text in ("hola é ñ \u1234 \n\t x", "<|endoftext|> 日本語 🙂", "", "\x00\x7f\xad\xa0"):
+        ids = coder.encode(text, add_special_tokens=False).ids
+        assert b"".join(table[i] for i in ids).decode() == text == coder.decode(ids, skip_special_tokens=False)
+
+
+def test_one_long_conversation(spark):
+    rows = [(5, k, "user" if k % 2 else "assistant", f"turn {k} " * (20_000 if k == 7 else 3)) for k in range(400)]
+    turns = spark.createDataFrame([(*r, 1, "x") for r in rows], "conv_id long, turn long, role string, text string, seq int, loss string")
+    formatted = chat.format_conversations(turns)
+    got = chat.read_back(formatted, in_order=True).collect()
+    assert got == chat.read_back(formatted.repartition(3)).collect() and len(got) == 1 and got[0].n_turns == 400
+    assert got[0].loss_chars == sum(len(r[3]) for r in rows if r[2] == "assistant")
+
+
 # -- html
 
 
