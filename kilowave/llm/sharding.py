@@ -6,10 +6,12 @@ sizes differ by one at most (law `rows`), and a seed gives the same shuffle agai
 
 Row numbers need no global sort: rows are counted in BUCKETS hash buckets, the bucket sizes are
 prefix-summed (BUCKETS rows, broadcast), and each bucket numbers its own. Equal rows are counted before the
-shuffle and spread out after it, so a row repeated any number of times is no hot key.
+shuffle, and their numbers go out in runs of RUN, dealt over all tasks before they become rows, so a row repeated any number of
+times is no hot key.
 
-Defined cases: a null text has size 1 and checksum 0; a null doc_id is a value like others; equal rows get
-distinct slots; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text has size 1 and checksum 0; a null doc_id is a value like others; very long texts count by their bytes;
+equal rows get distinct slots; rows that tie in doc_id, size and checksum are equal rows here; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets in which rows are numbered; the table of their sizes has this many rows at most.
 BUCKETS = 2048
+#: Numbers of a repeated row that one task spreads out at a time.
+RUN = 10_000
 #: Feistel rounds, and walks after which a row number outside the table is an error (its odds are rows**-WALKS/2).
 ROUNDS, WALKS = 4, 64
 
@@ -56,7 +60,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 42) -> DataFra
     numbered = kinds.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     numbered = numbered.join(F.broadcast(sizes), "bucket")
     first = F.col("before") + F.col("upto") - F.col("n")
-    spread = numbered.select("doc_id", "size", "text_crc32", "total", "side", "other", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("row"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))).alias("run")
+    dealt = numbered.select("doc_id", "size", "text_crc32", "total", "side", "other", first.alias("first"), "n", runs).repartition("doc_id", "size", "text_crc32", "run")
+    own = F.sequence(F.col("first") + F.col("run") * RUN, F.col("first") + F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)
+    spread = dealt.select("doc_id", "size", "text_crc32", "total", "side", "other", F.explode(own).alias("row"))
     once = spread.withColumn("position", F.expr(_permuted("row", seed)))
     walked = f"aggregate(sequence(1, {WALKS}), position, (p, i) -> if(p < total, p, {_permuted('p', seed)}))"
     landed = once.withColumn("position", F.expr(f"if(position < total, position, {walked})"))

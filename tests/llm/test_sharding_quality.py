@@ -30,7 +30,8 @@ def test_every_size_is_a_permutation(spark, n):
     assert sorted(r.position for r in sharding.shard_documents(rows).collect()) == list(range(n))
 
 
-def test_one_row_repeated_is_spread(spark):
+def test_one_row_repeated_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 64)  # several runs
     rows = spark.range(900).selectExpr("7 as doc_id", "'same' as text")
     out = sharding.shard_documents(rows).collect()
     assert sorted(Counter(r.shard for r in out).values()) == [112] * 4 + [113] * 4
