@@ -18,9 +18,9 @@ min-wise samples of the sets, which are equal for similar texts; a bucket is lin
 Scale: equal fingerprints collapse first; a bucket streams through one task that holds MOST_IN_BUCKET
 fingerprints at most, and larger buckets are dealt out as pairs of chunks of that size.
 
-Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows and rows
-of one doc_id with several texts each keep their result row; a group's id is the smallest doc_id in it (null if
-it has none); an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty texts have fingerprint zero and are linked like any other; very long texts are read whole, one at a
+time; a bit set in exactly half the values is 0; repeated rows and rows of one doc_id with several texts each keep their result row; a group's id is the smallest doc_id in it (null if
+it has none); an empty table gives an empty result; other columns, whatever their names, are ignored (or kept, by drop_near_duplicates).
 """
 
 from __future__ import annotations
@@ -80,16 +80,28 @@ def simhash(text: bytes | None, words: int) -> int:
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp, uid) of every row: the fingerprint as a signed long, and a hash of doc_id and text."""
+def fingerprints(docs: DataFrame, words: int = 4, sets: bool = False) -> DataFrame:
+    """(doc_id, fp, uid) of every row: the fingerprint as a signed long, and a hash of doc_id and text.
+
+    sets: with (sid, n, prints), of rows with a word: a hash of the shingle set, its size and the prints of its samples.
+    """
     bounded_batches(docs.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([simhash(t.as_py(), words) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), batch.column("uid")], ["doc_id", "fp", "uid"])
+        for batch in slices(batches, "text"):
+            texts = batch.column("text")
+            found = np.array([simhash(t.as_buffer().to_pybytes() if t.is_valid else None, words) for t in texts], dtype=np.uint64)
+            cols = [batch.column("doc_id"), pa.array(found.view(np.int64)), batch.column("uid")]
+            if sets:
+                sid, n, prints = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+                for k, own in _shingles(batch, words):
+                    sid[k] = int(np.uint64(mix(own + np.uint64(9)).sum(dtype=np.uint64)).view(np.int64))
+                    n[k], prints[k] = len(own), sample_prints(own).view(np.int64)
+                cols += [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "uid", "sid", "n", "prints"][: len(cols)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _uid(), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(each, "doc_id long, fp long, uid long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _uid(), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(each, "doc_id long, fp long, uid long" + ", sid long, n int, prints array<long>" * sets)
 
 
 def _uid():
@@ -278,25 +290,6 @@ def sample_prints(shingles: np.ndarray) -> np.ndarray:
     return mix(np.array(out, dtype=np.uint64) + np.arange(SAMPLES, dtype=np.uint64))
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(uid, sid, n, prints) of every row with a word: a hash of its shingle set, its size and sample fingerprints."""
-    bounded_batches(docs.sparkSession)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            rows, sids, sizes, prints = [], [], [], []
-            for k, own in _shingles(batch, words):
-                rows.append(k), sizes.append(len(own))
-                sids.append(int(mix(own + np.uint64(9)).sum(dtype=np.uint64)))
-                prints.append(sample_prints(own).view(np.int64))
-            if rows:
-                cols = [batch.column("uid").take(pa.array(rows)), pa.array(np.array(sids, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "sid", "n", "prints"])
-
-    rows = docs.select(_uid(), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(each, "uid long, sid long, n int, prints array<long>")
-
-
 def _shingles(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its sorted set of hashed shingles) of every row with a word."""
     w = words_of(batch.column("text"), PLAIN, lower=True)
@@ -489,9 +482,9 @@ def similar_sets(docs: DataFrame, sets: DataFrame, words: int, similarity: float
 
 
 def _set_links(docs: DataFrame, prints: DataFrame, words: int, similarity: float, made: list[DataFrame]) -> DataFrame:
-    """(u, v): the links of similar shingle sets, as links of fingerprints."""
-    sets = materialise(shingle_sets(docs, words), made)
-    named = materialise(prints.select("uid", "fp").join(sets.select("uid", "sid"), "uid").select("sid", "fp").distinct(), made)
+    """(u, v): the links of similar shingle sets, as links of fingerprints. prints: with sets."""
+    sets = prints.where("sid is not null")
+    named = materialise(sets.select("sid", "fp").distinct(), made)
     first = named.groupBy("sid").agg(F.min("fp").alias("first"))
     inner = named.join(first, "sid").where("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
     pairs = similar_sets(docs, sets, words, similarity, made=made)
@@ -504,12 +497,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: float | None =
 
     similarity: also link texts whose sets of shingles have at least this Jaccard similarity, which may lie further apart than RADIUS bits.
     """
-    prints = materialise(fingerprints(docs, words))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     made: list[DataFrame] = []
+    if similarity is None:
+        full = prints = materialise(fingerprints(docs, words))
+    else:
+        full = materialise(fingerprints(docs, words, sets=True), made)
+        prints = materialise(full.select("doc_id", "fp", "uid"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = fingerprint_links(distinct.select("fp"), made=made)
     if similarity is not None:
-        links = links.unionByName(_set_links(docs, prints, words, similarity, made))
+        links = links.unionByName(_set_links(docs, full, words, similarity, made))
     roots = connected_components(links).withColumnRenamed("node", "fp")
     discard(*made)
     grouped = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -524,7 +521,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float | No
     name = fresh(docs, "__uid")
     first = groups.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias(name)).select(name)
     kept = docs.withColumn(name, _uid()).join(first, name, "left_semi")
-    return kept.dropDuplicates([name]).select(*docs.columns)
+    return kept.dropDuplicates([name, "doc_id"]).select(*docs.columns)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
