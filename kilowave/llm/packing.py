@@ -130,15 +130,15 @@ def sum_of_squares(lengths: np.ndarray, room: int = SEQUENCE) -> tuple[np.ndarra
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     open_bins: list[list[int]] = [[] for _ in range(room + 1)]
     count = np.zeros(room + 1, dtype=np.int64)  # open bins by gap; gap 0 is closed and gap room is a bin not begun: both count nothing
-    made = 0
+    made, never = 0, 4 * len(lengths) + 4
     for i in np.argsort(-lengths, kind="stable").tolist():
         s = int(lengths[i])
         # a bin of gap g becomes one of gap g - s: the sum changes by 2 * (count[g - s] - count[g]) + 2
-        change = count[: room + 1 - s] - count[s:] + 1
+        change = 2 * (count[: room + 1 - s] - count[s:] + 1)
         if s < room:
-            change[0] = -count[s]  # closes: N(g)**2 falls by 2 N(g) - 1, so half of it, rounded down
-        change[count[s:] == 0] = room
-        change[-1] = count[room - s] + 1 if s < room else 0
+            change[0] = 1 - 2 * count[s]  # one closes
+        change[count[s:] == 0] = never
+        change[-1] = 2 * count[room - s] + 1 if s < room else 0  # one begins
         g = int(np.argmin(change)) + s
         if g == room:
             b, made = made, made + 1
