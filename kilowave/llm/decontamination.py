@@ -12,16 +12,19 @@ segment first; a window with a term that the segment lacks costs a lookup. What
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`.
 
 Scale: one pass over the texts, none of them shuffled; the index goes by segment, so a frequent term is spread
-over all. Tests are sent in blocks of BLOCK_BYTES of their texts; more blocks are more passes over the index.
+over all. Tests are sent in blocks of BLOCK_BYTES of their texts, of which two at most are on the driver; more blocks are more
+passes over the index, each of which writes its matches alone.
 
 Defined cases: null texts have no words, no hits and no items; tests without words match nothing; equal item_ids
-count once; tests without an item_id mark words, but are not counted as items; repeated rows and null doc_ids
-each get a result; empty tables give empty results or no hits; other columns are ignored.
+count once; tests without an item_id mark words, but are not counted as items; very long texts are a segment of their own; repeated
+rows and null doc_ids each get a result; terms that are as rare go by their hash; empty tables give empty results or no hits; other
+columns, whatever their names, are ignored (or kept, by drop_contaminated).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,8 +182,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def phrase_matches(index: DataFrame, tests: Tests) -> DataFrame:
-    """Every document of the index: its words, the merged spans of words in exact matches and the items matched (FOUND)."""
+def phrase_matches(index: DataFrame, tests: Tests, hits_only: bool = False) -> DataFrame:
+    """Every document of the index, or those with a match: its words, the merged spans of words in exact matches and the items matched (FOUND)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +192,8 @@ def phrase_matches(index: DataFrame, tests: Tests) -> DataFrame:
                 hits = _segment_hits(s, tests)
                 out = []
                 for d, doc_id in enumerate(s.doc_ids):
+                    if hits_only and d not in hits:
+                        continue
                     spans, items = hits.get(d, ((), ()))
                     base, spans = int(s.first[d]), _merged(list(spans))
                     ids = {tests.items[i] for i in items}
@@ -233,15 +238,20 @@ def proximity_matches(index: DataFrame, tests: Tests, terms: int = 4, within: in
 def contamination(docs: DataFrame, tests: DataFrame) -> DataFrame:
     """Every row of docs: (doc_id, n_words, n_hit, items, contaminated)."""
     index = build_index(docs, test_bitmap(tests))
-    parts = [phrase_matches(index, block) for block in _blocks(tests)] or [phrase_matches(index, Tests([], []))]
-    if len(parts) == 1:
-        found = parts[0].select("doc_id", "n_words", "hit_from", "hit_to", "items")
-    else:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hit_from", "hit_to", "items")]
-        found = every.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
+    blocks = _blocks(tests)
+    one, two = next(blocks, None), next(blocks, None)
+    lists = ["hit_from", "hit_to", "items"]
+    if two is None:
+        found = phrase_matches(index, one or Tests([], [])).select("doc_id", "n_words", *lists)
+    else:  # a block at a time: its tests are here only while its matches are written
+        hits = None
+        for block in itertools.chain([one, two], blocks):
+            own = materialise(phrase_matches(index, block, hits_only=True).select("segment", "place", *lists))
+            hits = own if hits is None else hits.unionByName(own)
+        joined = hits.groupBy("segment", "place").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in lists))
+        every = phrase_matches(index, Tests([], [])).drop(*lists)
+        none = {"hit_from": "array<int>", "hit_to": "array<int>", "items": "array<long>"}
+        found = every.join(joined, ["segment", "place"], "left").select("doc_id", "n_words", *(F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()))
 
     spans = F.expr("array_sort(arrays_zip(hit_from, hit_to))")
     # spans may overlap between blocks: count what lies beyond the furthest end so far

@@ -9,8 +9,8 @@ the mean over its positions. One pass, no shuffle; a worker holds a slice of abo
 Held-out rows (crc32 of doc_id as text, modulo 3, is 1) never train; lang, source and doc_id are no inputs.
 
 Defined cases: null texts and texts without a letter give `und` with score 0, as all do if nothing can be
-learned; null lang rows don't train; repeated rows each get a result; an empty table gives an empty result;
-other columns are ignored.
+learned; null lang rows don't train; languages that are as likely: the first by name; very long texts are read whole, a slice of their
+own; repeated rows each get a result; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ doc_id are no inputs. Only sums reach the driver: moments, two square matrices o
 
 Defined cases: null and empty texts have all statistics zero and get a score like others; several labels of one doc_id
 count as their mean; null labels and labels of unknown documents don't train; without labels every score is 0.5;
-repeated rows each get a result; an empty table gives an empty result; other columns are ignored.
+a score of exactly 0.5 is predicted 1; very long texts are measured whole; repeated rows each get a result; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Hashes are 64 bits wide; all windows of a text are compared, whatever its length
 Arrow batches in slices of about a megabyte of text, with no shuffle.
 
 Defined cases: a null or empty text has zero words and fails the base rules; repeated rows and null doc_ids
-each get their own result row; an empty table gives an empty result; other columns are ignored.
+each get their own result row; very long texts are measured whole, a slice of their own; a share equal to its limit passes; an empty table
+gives an empty result; other columns, whatever their names, are ignored (or kept, by keep_good).
 """
 
 from __future__ import annotations
