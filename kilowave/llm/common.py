@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -40,10 +41,18 @@ def materialise(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame
     out._written = path
     if made is not None:
         made.append(out)
-    jvm.System.gc()  # Spark drops the shuffle files of a finished job once the driver has collected what refers to them
+    _drop_shuffles(spark)
     return out
 
 
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of a finished job once the driver has collected what refers to them: Python's plans, listeners' events, what the session keeps of its last query."""
+    gc.collect()
+    spark.range(0, 1, 1, 1).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialise() that nothing reads any more: all that came from them has been written since."""
     for table in tables:
