@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import os
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,8 @@ def _drop_shuffles(spark: SparkSession) -> None:
     """Spark drops the shuffle files of a finished job once the driver has collected what refers to them: Python's plans, listeners' events, what the session keeps of its last query."""
     gc.collect()
     spark.range(0, 1, 1, 1).collect()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    with contextlib.suppress(Py4JJavaError):  # listeners that lag behind only let the files stay until the next time
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
 
 
