@@ -52,7 +52,7 @@ def _drop_shuffles(spark: SparkSession) -> None:
     gc.collect()
     spark.range(0, 1, 1, 1).collect()
     with contextlib.suppress(Py4JJavaError):  # listeners that lag behind only let the files stay until the next time
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(2_000)
     spark.sparkContext._jvm.System.gc()
 
 
