@@ -35,7 +35,7 @@ from .common import bounded_batches, materialise, slices
 
 SEQUENCE, END, CELL = 4096, 1, 50_000
 #: Bytes that each of a worker's two word tables and its table of stems may take, and what an entry takes beside its two texts.
-KEPT_BYTES, ENTRY_BYTES = 24 << 20, 170
+KEPT_BYTES, ENTRY_BYTES = 64 << 20, 170
 #: ASCII punctuation other than an apostrophe: after a letter or digit, no token spans its beginning.
 TAIL = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
